@@ -27,6 +27,7 @@ class TextCNN:
         rng = np.random.default_rng(seed)
         self.widths, self.filters = widths, filters
         self.e = (rng.standard_normal((vocab, dim)) * 0.1).astype(np.float32)
+        self.e[:, 0] = 0
         self.e[PAD] = 0
         self.w = [(rng.standard_normal((k, dim, filters)) * (1.0 / np.sqrt(k * dim))).astype(np.float32) for k in widths]
         self.b = [np.zeros(filters, np.float32) for _ in widths]
@@ -39,52 +40,58 @@ class TextCNN:
         self.tables = [[self.e @ w[o] for o in range(k)] for k, w in zip(self.widths, self.w)]
         return self
 
-    def _conv(self, flat: np.ndarray, i: int, step: int) -> np.ndarray:
-        k = self.widths[i]
+    def _conv(self, flat: np.ndarray, i: int, first: np.ndarray | None) -> np.ndarray:
+        k, w = self.widths[i], self.w[i]
         n = len(flat) - (max(self.widths) - 1)
-        if self.tables is not None:
-            z = self.tables[i][0][flat[:n]]
-            for o in range(1, k):
-                z += self.tables[i][o][flat[o : n + o]]
-            return z + self.b[i]
-        z = self.e[flat[:n]] @ self.w[i][0]
-        for o in range(1, k):
-            z += self.e[flat[o : n + o]] @ self.w[i][o]
-        return z + self.b[i]
-
-    def pooled(self, texts: list[np.ndarray], step: int = 1 << 17) -> np.ndarray:
+        z = np.repeat(self.b[i][None], n, axis=0)
+        for o in range(k):
+            at = flat[o : n + o]
+            z += self.tables[i][o][at] if self.tables is not None else self.e[at] @ w[o]
+            if first is not None:
+                z += first[o : n + o, None] * w[o][0]
+        return z
+
+    def pooled(self, texts: list[np.ndarray], first: list[np.ndarray] | None = None, step: int = 1 << 17) -> np.ndarray:
         """Max-pooled activations; long texts go through in pieces that overlap by the filter width."""
         pad = max(self.widths) - 1
         out = np.zeros((len(texts), self.filters * len(self.widths)), np.float32)
-        group: list[tuple[int, np.ndarray]] = []
+        group: list[tuple[int, int]] = []
         size = 0
 
         def flush():
             if not group:
                 return
-            flat, starts = flatten([t for _, t in group], pad)
+            flat, starts = flatten([texts[r][at : at + step + pad] for r, at in group], pad)
             flat = np.concatenate([flat, np.zeros(pad, np.int64)])
-            rows = np.array([r for r, _ in group])
-            z = np.concatenate([np.maximum.reduceat(self._conv(flat, i, step), starts, axis=0) for i in range(len(self.widths))], axis=1)
-            np.maximum.at(out, rows, z)
+            values = None
+            if first is not None:
+                values = np.zeros(len(flat), np.float32)
+                for s, (r, at) in zip(starts, group):
+                    piece = first[r][at : at + step + pad]
+                    values[s : s + len(piece)] = piece
+            z = np.concatenate([np.maximum.reduceat(self._conv(flat, i, values), starts, axis=0) for i in range(len(self.widths))], axis=1)
+            np.maximum.at(out, np.array([r for r, _ in group]), z)
             group.clear()
 
         for r, t in enumerate(texts):
             for at in range(0, max(1, len(t)), step):
-                piece = t[at : at + step + pad]
-                group.append((r, piece))
-                size += len(piece) + pad
+                group.append((r, at))
+                size += min(step, len(t) - at) + pad
                 if size >= step:
                     flush()
                     size = 0
         flush()
         return out
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        return self.pooled(texts) @ self.v + self.c[0]
+    def logits(self, texts: list[np.ndarray], first: list[np.ndarray] | None = None) -> np.ndarray:
+        return self.pooled(texts, first) @ self.v + self.c[0]
+
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, slow: float = 1.0, seed: int = 3, first: list[np.ndarray] | None = None) -> "TextCNN":
+        """Adam on the logistic loss, weighted to even classes.
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3, shift: list[np.ndarray] | None = None) -> "TextCNN":
-        """Adam on the logistic loss. ``shift``: a first embedding component for each text's fold, see ``folds``."""
+        ``slow``: the embedding's share of ``rate``. ``first``: the words' first
+        embedding component, given from outside and not trained.
+        """
         rng = np.random.default_rng(seed)
         params = [self.e, self.v, self.c, *self.w, *self.b]
         m = [np.zeros_like(p) for p in params]
@@ -101,12 +108,9 @@ class TextCNN:
                 n = len(flat) - pad
                 doc = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, n)))
                 x = self.e[flat]
-                if shift is not None:
-                    first = np.zeros(len(flat), np.float32)
-                    for j, r in enumerate(rows):
-                        end = starts[j + 1] if j + 1 < len(rows) else n
-                        first[starts[j] : end] = shift[r % len(shift)][flat[starts[j] : end]]
-                    x[:, 0] = first
+                if first is not None:
+                    for start, r in zip(starts, rows):
+                        x[start : start + len(first[r]), 0] = first[r]
                 zs, args = [], []
                 for i, k in enumerate(self.widths):
                     z = sum(x[o : n + o] @ self.w[i][o] for o in range(k)) + self.b[i]
@@ -131,7 +135,7 @@ class TextCNN:
                         grads[3 + i][o] = np.einsum("bfd,bf->df", x[at_], d)
                         de = d[:, :, None] * self.w[i][o].T[None]
                         np.add.at(grads[0], flat[at_].ravel(), de.reshape(-1, de.shape[2]))
-                if shift is not None:
+                if first is not None:
                     grads[0][:, 0] = 0
                 grads[0][PAD] = 0
                 t += 1
@@ -139,5 +143,5 @@ class TextCNN:
                     g_ = g_ + decay * p_ if p_.ndim > 1 and p_ is not self.e else g_
                     m_ += 0.1 * (g_ - m_)
                     s_ += 0.001 * (g_ * g_ - s_)
-                    p_ -= rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)
+                    p_ -= (slow if p_ is self.e else 1.0) * rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)
         return self

@@ -3,9 +3,10 @@
 Words, lower-cased and stripped of outer punctuation, hash to embeddings; filters
 of widths 1, 2 and 3 run over the whole text and keep their maxima, and a
 logistic layer gives a probability. Training is numpy, on a bounded labelled
-sample (``sample`` rows at most, documented here: 6000). The first component of
-a word's embedding starts from how often the word occurs in toxic and other
-texts of the sample, taken from the other folds for the texts of a fold.
+sample (``sample`` rows at most). The first component of a word's embedding is
+evidence: how surely the word or one of its beginnings (PREFIXES letters, so
+that inflected words count) marks toxic texts of the sample, taken from the
+other folds for the texts of a fold. The others are trained.
 
 The threshold is calibrated by language: texts are grouped by the profile of
 their most frequent words (k-means without any label, as lang is never an
@@ -34,28 +35,46 @@ from ipaloom.llm.training import labelled_sample
 
 BUCKETS = 1 << 16
 FOLDS = 5
+#: Buckets of words and their beginnings, and the lengths of those.
+FEATURES = 1 << 20
+PREFIXES = (4, 5, 6)
 FREQUENT = 128
+#: Standard errors below the observed share.
+CONFIDENCE = 1.64
+#: The embedding learns at this share of the rate.
+SLOW = 0.1
 CACHE = 500_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-class _Ids(dict):
+class _Words(dict):
+    """Word -> row of ``parts``: its bucket, and those of its features."""
+
+    def __init__(self):
+        self.parts = np.zeros((1024, 2 + len(PREFIXES)), np.int64)
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        plain = word.strip(_EDGE)
-        value = 1 + xxhash.xxh32_intdigest(plain) % (BUCKETS - 1) if plain else 0
-        self[word] = value
-        return value
+        if len(self) == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        plain = word[:64].strip(_EDGE)
+        row = len(self)
+        if plain:
+            features = [plain, *(plain[:n] + "*" if len(plain) > n else plain for n in PREFIXES)]
+            self.parts[row] = [1 + xxhash.xxh32_intdigest(plain) % (BUCKETS - 1), *(1 + xxhash.xxh32_intdigest(f, 1) % (FEATURES - 1) for f in features)]
+        self[word] = row
+        return row
 
 
-_ids = _Ids()
+_words = _Words()
 
 
-def ids(text: str | None) -> np.ndarray:
-    """Hashed words of a text, in order."""
-    got = np.fromiter(map(_ids.__getitem__, (text or "").lower().split()), dtype=np.int64)
-    return got[got > 0]
+def parts(text: str | None) -> np.ndarray:
+    """The words of a text in order, a row each: bucket and features."""
+    if len(_words) > CACHE:
+        _words.clear()
+    rows = np.fromiter(map(_words.__getitem__, (text or "").lower().split()), dtype=np.int64)
+    got = _words.parts[rows]
+    return got[got[:, 0] > 0]
 
 
 @dataclass
@@ -65,6 +84,7 @@ class Model:
     frequent: np.ndarray
     groups: np.ndarray
     bends: np.ndarray
+    evidence: np.ndarray
 
     def group(self, texts: list[np.ndarray]) -> np.ndarray:
         x = profile(texts, self.frequent)
@@ -73,8 +93,9 @@ class Model:
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         if self.cnn is None:
             return np.full(len(texts), self.prior)
-        p = 1 / (1 + np.exp(-np.clip(self.cnn.logits(texts).astype(float), -30, 30)))
-        return p ** self.bends[self.group(texts)]
+        words = [t[:, 0] for t in texts]
+        p = 1 / (1 + np.exp(-np.clip(self.cnn.logits(words, [_first(t, self.evidence) for t in texts]).astype(float), -30, 30)))
+        return p ** self.bends[self.group(words)]
 
 
 def profile(texts: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
@@ -89,28 +110,39 @@ def profile(texts: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _evidence(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Signed strength with which each word marks label 1."""
-    n, t = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for s, label in zip(sets, y):
-        n[s] += 1
-        t[s] += label
-    p = y.mean()
-    z = (t - p * n) / np.sqrt(p * (1 - p) * n + 1)
-    return (np.sign(z) * np.log1p(np.abs(z))).astype(np.float32)
+def _evidence(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """How surely a feature marks label 1: log-odds of the lower confidence bound of its texts' share of label 1, over that of all texts."""
+    n, t = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
+    for x, label in zip(texts, y):
+        own = np.unique(x[:, 1:])
+        n[own] += 1
+        t[own] += label
+    share, z2 = t / np.maximum(n, 1), CONFIDENCE**2
+    low = (share + z2 / (2 * n + 1e-9) - CONFIDENCE * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z2 / (4 * n**2 + 1e-9))) / (1 + z2 / (n + 1e-9))
+    low = np.where(n > 0, np.clip(low, 1e-6, 1 - 1e-6), 1e-6)
+    return np.clip(np.log(low / (1 - low)) - np.log(y.mean() / (1 - y.mean())), 0, 6).astype(np.float32)
+
 
+def _first(text: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """The first embedding component of a text's words."""
+    return evidence[text[:, 1:]].max(axis=1) if len(text) else np.zeros(0, np.float32)
 
-def _train(texts, sets, y, seed) -> TextCNN:
+
+def _train(texts: list[np.ndarray], y: np.ndarray, seed: int) -> tuple[TextCNN, np.ndarray]:
+    """The network, trained on evidence from other folds, and the evidence of all texts."""
     cnn = TextCNN(BUCKETS, 8, (1, 2, 3), 6, seed=seed)
-    fold = np.arange(len(y)) % FOLDS
-    shift = [_evidence([s for s, f in zip(sets, fold) if f != k], y[fold != k]) for k in range(FOLDS)]
     cnn.w[0][0, 0, :3] = 1.0
-    cnn.b[0][:3] = -0.5
-    cnn.v[:3] = 0.5
-    cnn.fit(texts, y, epochs=max(6, min(40, 16_000 // max(1, len(y)))), shift=shift)
-    cnn.e[:, 0] = _evidence(sets, y)
-    cnn.e[0] = 0
-    return cnn
+    cnn.b[0][:3] = -1.5
+    cnn.v[:3] = 1.0
+    first: list = [None] * len(y)
+    fold = np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):
+        others = np.flatnonzero(fold != k)
+        e = _evidence([texts[i] for i in others], y[others])
+        for i in np.flatnonzero(fold == k):
+            first[i] = _first(texts[i], e)
+    cnn.fit([t[:, 0] for t in texts], y, epochs=max(4, min(40, 16_000 // len(y))), first=first, slow=SLOW)
+    return cnn, _evidence(texts, y)
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -122,23 +154,26 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(len(y)) + 1 + y.sum())
     best = int(f1.argmax())
     low = p[order[best + 1]] if best + 1 < len(y) else 0.0
-    return float(np.clip((p[order[best]] + low) / 2, 0.02, 0.98))
+    return float(np.clip((p[order[best]] + low) / 2, 0.1, 0.98))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 6000, threshold: float = 0.7, groups: int = 6) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, threshold: float = 0.7, groups: int = 6) -> Model:
     """Train on at most ``sample`` labelled documents; their hashed words reach the driver."""
     util.ship(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "toxic", learn, sample).select("text", "y").mapInArrow(_hashed, "ids array<int>, y int").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (xxhash.xxh32_intdigest(np.array(r["ids"], np.int32).tobytes()), r["y"]))
+    rows = labelled_sample(docs, labels, "toxic", learn, sample).select("text", "y").mapInArrow(_hashed, "ids array<int>, y int").toArrow()
+    rows = [{"ids": i.values.to_numpy(zero_copy_only=False), "y": label} for i, label in zip(rows.column("ids"), rows.column("y").to_pylist())]
+    rows = sorted(rows, key=lambda r: (xxhash.xxh32_intdigest(r["ids"].tobytes()), r["y"]))
     y = np.array([r["y"] for r in rows], np.float32)
-    texts = [np.array(r["ids"], np.int64) for r in rows]
+    texts = [np.array(r["ids"], np.int64).reshape(-1, 2 + len(PREFIXES)) for r in rows]
     prior = float(y.mean()) if len(y) else 0.0
-    if not len(y) or prior in (0.0, 1.0) or len(y) < 2 * FOLDS:
-        return Model(None, prior, np.zeros(0, int), np.zeros((1, 0)), np.ones(1))
-    sets = [np.unique(t) for t in texts]
-    df = np.bincount(np.concatenate(sets), minlength=BUCKETS)
+    if len(y) < 2 * FOLDS or prior in (0.0, 1.0):
+        return Model(None, prior, np.zeros(0, int), np.zeros((1, 0)), np.ones(1), np.zeros(FEATURES, np.float32))
+    words = [t[:, 0] for t in texts]
+    df = np.zeros(BUCKETS)
+    for w in words:
+        df[np.unique(w)] += 1
     frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
-    x = profile(texts, frequent)
+    x = profile(words, frequent)
     rng = np.random.default_rng(2)
     c = x[rng.permutation(len(x))[: min(groups, len(x))]]
     for _ in range(15):
@@ -146,26 +181,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 6000, t
         c = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     near = (x @ c.T).argmax(axis=1)
-    # cross-fitted scores: two halves
+    # scores for calibration come from the half that a text is not in
     half = (np.arange(len(y)) // FOLDS) % 2
     p = np.zeros(len(y))
     for k in (0, 1):
-        at = np.flatnonzero(half != k)
-        part = _train([texts[i] for i in at], [sets[i] for i in at], y[at], 7 + k)
-        to = np.flatnonzero(half == k)
-        p[to] = 1 / (1 + np.exp(-np.clip(part.logits([texts[i] for i in to]).astype(float), -30, 30)))
+        at, to = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if y[at].min() == y[at].max():
+            continue
+        cnn, e = _train([texts[i] for i in at], y[at], 7 + k)
+        p[to] = 1 / (1 + np.exp(-np.clip(cnn.logits([words[i] for i in to], [_first(texts[i], e) for i in to]).astype(float), -30, 30)))
     overall = _best_threshold(p, y)
     bends = []
     for k in range(len(c)):
         own = near == k
-        t = _best_threshold(p[own], y[own]) if y[own].sum() >= 20 else overall
+        t = _best_threshold(p[own], y[own]) if y[own].sum() >= 60 else overall
         bends.append(np.log(threshold) / np.log(t))
-    return Model(_train(texts, sets, y, 7).freeze(), prior, frequent, c, np.array(bends))
+    cnn, e = _train(texts, y, 7)
+    return Model(cnn.freeze(), prior, frequent, c, np.array(bends), e)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([ids(t.as_py()).astype(np.int32) for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["ids", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array([parts(t.as_py()).astype(np.int32).ravel() for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["ids", "y"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -179,7 +216,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                s = m.scores([ids(t.as_py()) for t in part.column(1)])
+                s = m.scores([parts(t.as_py()) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
