@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 STRESS, LENGTH, LIAISON = "ˈˌ", "ːˑ", "‿"
 
@@ -35,7 +36,7 @@ PRESERVE_LENGTH = CleanConfig(strip_length=False)
 PRESERVE_ALL = CleanConfig(False, False, False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
