@@ -49,7 +49,7 @@ REGISTERS = BANDS * ROWS
 #: SetSketch's base, rate and limit.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Shingles in one block of a task.
-BLOCK = 250_000
+BLOCK = 100_000
 #: Rows of (id, hashes) that are broadcast at most, about 30 MB.
 BROADCAST_ROWS = 500_000
 CACHE = 400_000
