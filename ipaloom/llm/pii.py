@@ -128,6 +128,10 @@ def _entries(text: Column, spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.concat_ws(":", F.lit(kind), x["start"], x["end"]).alias("name"), _score(text, x, kind).alias("score")))
 
 
+def _names(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"], x["end"]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone: base spans; n_iban, n_ssn; base, spans, scores).
 
@@ -138,7 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base, added = _base(text), _added(text)
     rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in base.items()], *[c.alias(f"more_{k}") for k, c in added.items()])
-    joined = lambda kinds: F.concat_ws(",", F.flatten(F.array(*[F.transform(F.col(k), lambda x, k=k: F.concat_ws(":", F.lit(k), x["start"], x["end"])) for k in kinds])))
+    joined = lambda kinds: F.concat_ws(",", F.flatten(F.array(*[_names(F.col(k), k) for k in kinds])))
     of = lambda k: [c for c in (k, f"more_{k}") if c in rows.columns]
     everything = F.flatten(F.array(*[F.array_sort(F.concat(*[_entries(text, F.col(c), k) for c in of(k)])) for k in KINDS]))
     rows = rows.withColumn("base", joined(list(base)))
