@@ -5,7 +5,7 @@ Each text becomes hashed TF-IDF counts of its words, of the shapes of its words
 words; a truncated SVD of a bounded labelled sample maps them to a few latent
 dimensions. The sample's vectors and labels (``sample`` rows at most, so under
 1 MB) are broadcast; every document takes exact cosines to all of them, one
-matrix product a block, and its ``k`` nearest vote with their similarity.
+matrix product a block, and its nearest vote with their similarity.
 
 Defined cases: null and empty texts have no terms and score the share of label
 1 in the sample; with no labelled row at all every score is 0.5; repeated rows
@@ -107,10 +107,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["ids", "n", "y"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = 4000, dims: int = 32, k: int = 15) -> Model:
-    """Latent vectors of at most ``sample`` labelled documents; only their counted terms reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = 4000, dims: int = 32, k: int | None = None) -> Model:
+    """Latent vectors of at most ``sample`` labelled documents; only their counted terms reach the driver.
+
+    ``k`` neighbours vote, by default a quarter of the square root of the sample, 3 at least.
+    """
     util.ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, "quality", learn, sample).select("text", "y").mapInArrow(_counted, "ids array<int>, n array<float>, y int").toArrow().to_pylist()
+    k = k or max(3, round(len(rows) ** 0.5 / 4))
     x, y = np.zeros((len(rows), TERMS), np.float32), np.array([r["y"] for r in rows], np.float32)
     # the order of arrival must not matter
     rows_order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i]["ids"], rows[i]["n"]))
