@@ -168,6 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 256)
                 lang, s, far = m.predict(counts(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        util.tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 

@@ -52,7 +52,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 BLOCK = 100_000
 #: Rows of (id, hashes) that are broadcast at most, about 30 MB.
 BROADCAST_ROWS = 500_000
-CACHE = 400_000
+CACHE = 100_000
 #: Pairs whose estimate is below threshold - SLACK (over four standard errors) are dropped.
 SLACK = 0.17
 
@@ -188,6 +188,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 got = iter(bands(np.stack(regs)) if regs else [])
                 keys = [next(got) if n else None for n in sizes]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "bands"])
+        util.tidy(_hashes)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, bands array<long>")
 
@@ -240,6 +241,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, p
             if left.any() and right.any():
                 for a, b in links(sets, left, right, percent):
                     u.append(names[a]), v.append(names[b])
+        util.tidy(_hashes)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows.groupBy("task", "i", "j").applyInArrow(run, "u long, v long")

@@ -35,7 +35,7 @@ FILL = 1 - 1 / 64
 #: Rests up to capacity / SMALL are never cut.
 SMALL = 64
 #: Cached words per worker.
-CACHE = 400_000
+CACHE = 100_000
 
 
 class _Words(dict):
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer_path:
                 if len(packer.rows) >= 50_000:
                     yield out()
         packer.finish()
+        util.tidy(enc.words)
         if packer.rows:
             yield out()
 

@@ -31,7 +31,7 @@ from ipaloom.llm.training import labelled_sample
 WORDS, SHAPES = 3072, 1023
 TERMS = WORDS + SHAPES + 1
 REPEAT = TERMS - 1
-CACHE = 500_000
+CACHE = 100_000
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -105,6 +105,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(c)
             ids.append(at.astype(np.int32)), values.append(c[at]), ys.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["ids", "n", "y"])
+    util.tidy(_terms)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = 4000, dims: int = 32, k: int | None = None) -> Model:
@@ -154,6 +155,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 out.append(m.scores(x))
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        util.tidy(_terms)
 
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -172,6 +174,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
                 block = batch.slice(at, 512)
                 x = np.stack([counts(t.as_py()) for t in block.column(at_text)])
                 yield block.filter(pa.array(m.scores(x) >= threshold))
+        util.tidy(_terms)
 
     return docs.mapInArrow(run, docs.schema)
 

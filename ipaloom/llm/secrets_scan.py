@@ -192,6 +192,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(base, pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()), pa.array([_digest(s) for _, s in found], pa.string())],
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "spans"],
             )
+        util.tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, base_sha256 string, spans string")
 
@@ -228,5 +229,6 @@ def redact(docs: DataFrame, model: Model | None = None, mark: str = "[secret]")
                     columns[at_chars] = pa.array([len(t) if spans else n for t, n, (_, spans) in zip(new, old, found)], pa.int64())
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
+        util.tidy()
 
     return docs.mapInArrow(run, docs.schema)

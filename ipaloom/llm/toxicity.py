@@ -43,7 +43,7 @@ FREQUENT = 128
 CONFIDENCE = 1.64
 #: The embedding learns at this share of the rate.
 SLOW = 0.1
-CACHE = 500_000
+CACHE = 100_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -53,6 +53,10 @@ class _Words(dict):
     def __init__(self):
         self.parts = np.zeros((1024, 2 + len(PREFIXES)), np.int64)
 
+    def clear(self) -> None:
+        super().clear()
+        self.__init__()
+
     def __missing__(self, word: str) -> int:
         if len(self) == len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
@@ -203,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, t
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([parts(t.as_py()).astype(np.int32).ravel() for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["ids", "y"])
+    util.tidy(_words)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -218,6 +223,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 part = batch.slice(at, 256)
                 s = m.scores([parts(t.as_py()) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        util.tidy(_words)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 

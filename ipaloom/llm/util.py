@@ -79,6 +79,21 @@ def _clear() -> None:
                 return
 
 
+def tidy(*caches: dict) -> None:
+    """Give a worker's memory back at the end of a task: empty its caches and the allocators' free lists."""
+    import ctypes
+
+    import pyarrow
+
+    for c in caches:
+        c.clear()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (expressions in a lambda are not shared by Catalyst)."""
     return F.element_at(F.transform(F.array(value), body), 1)
