@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -34,31 +35,17 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 FILL = 1 - 1 / 64
 #: Rests up to capacity / SMALL are never cut.
 SMALL = 64
-#: Cached words per worker.
-CACHE = 100_000
-
-
-class _Words(dict):
-    """Word with its leading space -> ids as little-endian bytes; emptied when full."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+#: Characters that are tokenized together, or one longer text.
+CHUNK = 4_000_000
 
 
 class Encoder:
-    """Ids of the byte-level BPE vocabulary, by words.
+    """Ids of the byte-level BPE vocabulary, each distinct word of a chunk of texts encoded once.
 
     The vocabulary's pattern never joins text across the start of a space that
-    precedes a non-space, so words split there have the ids they have in the text.
-    Runs of spaces are the exception and go through the encoder whole.
+    precedes a non-space or follows one, so words split there have the ids they
+    have in the text. Texts with a space that has white space on both sides go
+    through the encoder whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -70,16 +57,74 @@ class Encoder:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words = _Words(self.encode)
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.n_bytes[list(ranks.values())] = [len(x) for x in ranks]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), dtype="<u4")
+
+    def _words(self, words: list[str], solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts): each word's ids after a space; ``solid`` words hold no white space and are encoded in one call."""
+        joined = [" " + w for w, s in zip(words, solid) if s]
+        ids = self.whole("".join(joined))
+        ends = np.cumsum([len(w.encode()) for w in joined], dtype=np.int64)
+        at = np.cumsum(self.n_bytes[ids])
+        last = np.searchsorted(at, ends)
+        if len(ends) and not np.array_equal(at[last], ends):
+            raise AssertionError("the vocabulary joins words")
+        counts = np.zeros(len(words), np.int64)
+        counts[solid] = np.diff(last + 1, prepend=0)
+        parts = [ids]
+        for i in np.flatnonzero(~solid):
+            parts.append(self.whole(" " + words[i]))
+            counts[i] = len(parts[-1])
+        order = np.concatenate([np.flatnonzero(solid), np.flatnonzero(~solid)])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(parts), starts, counts
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        solid = np.fromiter((w.split() == [w] for w in words), bool, len(words))
+        opens, closes = ~solid, ~solid
+        for i in np.flatnonzero(~solid):
+            opens[i], closes[i] = not words[i] or words[i][0].isspace(), not words[i] or words[i][-1].isspace()
+        ids, starts, counts = self._words(words, solid)
+        n = counts[at]
+        n[offsets[:-1]] = 0  # a first word has no space before it
+        before = np.concatenate([[0], np.cumsum(n)])
+        stream = ids[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])]
+        loose = closes[at[:-1]] & opens[at[1:]]
+        loose[offsets[1:-1] - 1] = False  # pairs across two texts
+        loose = np.concatenate([[0], np.cumsum(loose), [0]])
+        out = []
+        for i, text in enumerate(texts):
+            a, b = offsets[i], offsets[i + 1]
+            if loose[b - 1] > loose[a]:
+                out.append(self.whole(text))
+            else:
+                out.append(np.concatenate([self.whole(words[at[a]]), stream[before[a] : before[b]]]))
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        if "  " in text or text[0] == " ":
-            return np.array(self.encode(text), dtype="<u4")
-        first, *rest = text.split(" ")
-        word = self.words.__getitem__
-        return np.frombuffer(word(first) + b"".join([word(" " + w) for w in rest]), dtype="<u4")
+        return self.batch([text])[0]
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of at most CHUNK characters, or of one row."""
+    ids, texts, n = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        text = text.as_py() or ""
+        if texts and n + len(text) > CHUNK:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+        ids.append(doc_id), texts.append(text)
+        n += len(text)
+    if texts:
+        yield ids, texts
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -155,12 +200,13 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer_path:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, np.concatenate([enc.ids(text.as_py() or ""), end]))
-                if len(packer.rows) >= 50_000:
-                    yield out()
+            for doc_ids, texts in _chunks(batch):
+                for doc_id, ids in zip(doc_ids, enc.batch(texts)):
+                    packer.add(doc_id, np.concatenate([ids, end]))
+                    if len(packer.rows) >= 50_000:
+                        yield out()
         packer.finish()
-        util.tidy(enc.words)
+        util.tidy()
         if packer.rows:
             yield out()
 

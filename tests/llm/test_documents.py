@@ -48,6 +48,17 @@ def test_packing_is_a_round_trip(spark, docs, odd, empty):
     assert packing.pack(odd).select(F.sum("length")).first()[0] == packing.pack(odd).select("doc_tokens", "doc_id", "start").where("start = 0").select(F.sum("doc_tokens")).first()[0]
 
 
+def test_encoder_equals_the_tokenizer_on_any_white_space():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    r = random.Random(3)
+    parts = ["a", "B", "\u00e9", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "12", "-", "\u6f22", "\u200d", "\r\n"]
+    texts = ["", " ", "a   b", "a\n \nb", *("".join(r.choices(parts, k=r.randrange(40))) for _ in range(3000))]
+    expected = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in packing.encoder().batch(texts)] == expected
+    assert [packing.encoder().ids(x).tolist() for x in texts[:300]] == expected[:300]
+
+
 def test_fingerprints(spark, docs, odd, empty):
     got = {r["doc_id"]: r for r in fingerprint.compare_edited(docs).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
