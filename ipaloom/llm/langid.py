@@ -34,14 +34,14 @@ _letters: np.ndarray | None = None
 def _letter_table() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(0x10000)), dtype=bool, count=0x10000)
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
     return _letters
 
 
 def _codes(text: str) -> np.ndarray:
     """Code points of the letters, every other run as one space, with a space at either end."""
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where((c >= 0x10000) | _letter_table()[np.minimum(c, 0xFFFF)], c, 32)
+    c = np.where(_letter_table()[c], c, 32)
     gap = c == 32
     return c[~(gap & np.concatenate([[False], gap[:-1]]))]
 

@@ -45,3 +45,8 @@ def test_language(spark, docs, odd, empty):
     assert langid.identify(empty, model).count() == 0
     none = langid.fit(docs.where("1 = 0"), ~langid.held_out())
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
+
+
+def test_letters_beyond_the_basic_plane():
+    got = langid.counts(["\U0001F600 12", "\U0001D49C\U0001D4B7", "\U0001F1E9\U0001F1EA"]).sum(axis=1)
+    assert got[0] == got[2] == 0 and got[1] > 0
