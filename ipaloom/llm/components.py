@@ -27,9 +27,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round's edges are written to the shared folder; ends when they are
     stars: every node points to one other, which points nowhere. The number of
-    rounds grows with the logarithm of a path's length. Hubs are no hot groups:
-    minima are pre-aggregated, and the joins back are ordinary joins that Spark
-    may split.
+    rounds grows with the logarithm of a path's length. Minima are
+    pre-aggregated. The joins back are dealt by node against an aggregate, which
+    Spark doesn't split: a hub's edges are read by one task.
     """
     edges = util.materialize(edges.where("u != v").select("u", "v"))
     for _ in range(rounds):
