@@ -10,8 +10,11 @@ other folds for the texts of a fold. The others are trained.
 
 The threshold is calibrated by language: texts are grouped by the profile of
 their most frequent words (k-means without any label, as lang is never an
-input), the best threshold of each group is found on cross-fitted scores, and
-scores are bent so that it lies at ``threshold`` for every group.
+input, so clusters stand in for languages), the best threshold of each group is
+found on cross-fitted scores, and scores are bent so that it lies at
+``threshold`` for every group. Every group is calibrated, however few its toxic
+texts: the sample's other texts count in with a weight of SHRINK toxic texts in
+all, so that a group's threshold moves from the overall one as its own texts add up.
 
 Defined cases: null and empty texts get the score of a text without words; with
 no labelled row, or labels of one kind only, every score is that share of label
@@ -43,6 +46,10 @@ FREQUENT = 128
 CONFIDENCE = 1.64
 #: The embedding learns at this share of the rate.
 SLOW = 0.1
+#: Toxic texts that the whole sample counts as in a group's threshold.
+SHRINK = 20
+#: Starts of the clustering, of which the closest clusters are kept.
+STARTS = 8
 CACHE = 100_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -149,18 +156,45 @@ def _train(texts: list[np.ndarray], y: np.ndarray, seed: int) -> tuple[TextCNN,
     return cnn, _evidence(texts, y)
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the widest stretch of thresholds with the largest F1."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """Middle of the stretch of thresholds with the largest F1 of the weighted texts."""
     if y.sum() < 3 or y.sum() == len(y):
         return 0.5
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(len(y)) + 1 + y.sum())
+    w, toxic = weight[order], (weight * y)[order]
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(w) + toxic.sum())
     best = int(f1.argmax())
     low = p[order[best + 1]] if best + 1 < len(y) else 0.0
     return float(np.clip((p[order[best]] + low) / 2, 0.1, 0.98))
 
 
+def _thresholds(p: np.ndarray, y: np.ndarray, near: np.ndarray, groups: int) -> np.ndarray:
+    """The threshold of each group, shrunk towards the overall one by the group's toxic texts."""
+    return np.array([_best_threshold(p, y, (near == k) + SHRINK / max(1.0, float(y.sum()))) for k in range(groups)])
+
+
+def _clusters(x: np.ndarray, groups: int) -> np.ndarray:
+    """Centres of the closest of STARTS clusterings; starts are drawn by their distance from those before, so that small languages have one."""
+    rng = np.random.default_rng(2)
+    best, closest = np.zeros((1, x.shape[1]), x.dtype), -1.0
+    known = x[x.any(axis=1)]
+    for _ in range(STARTS if len(known) else 0):
+        c = known[rng.integers(len(known))][None]
+        while len(c) < groups:
+            far = np.maximum(0, 1 - (known @ c.T).max(axis=1).astype(float))
+            if far.sum() < 1e-3:
+                break
+            c = np.concatenate([c, known[rng.choice(len(known), p=far / far.sum())][None]])
+        for _ in range(15):
+            near = (known @ c.T).argmax(axis=1)
+            c = np.stack([known[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        if (close := float((known @ c.T).max(axis=1).sum())) > closest:
+            best, closest = c, close
+    return best
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, threshold: float = 0.7, groups: int = 6) -> Model:
     """Train on at most ``sample`` labelled documents; their hashed words reach the driver."""
     util.ship(docs.sparkSession)
@@ -178,12 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, t
         df[np.unique(w)] += 1
     frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
     x = profile(words, frequent)
-    rng = np.random.default_rng(2)
-    c = x[rng.permutation(len(x))[: min(groups, len(x))]]
-    for _ in range(15):
-        near = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    c = _clusters(x, groups)
     near = (x @ c.T).argmax(axis=1)
     # scores for calibration come from the half that a text is not in
     half = (np.arange(len(y)) // FOLDS) % 2
@@ -194,14 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, t
             continue
         cnn, e = _train([texts[i] for i in at], y[at], 7 + k)
         p[to] = 1 / (1 + np.exp(-np.clip(cnn.logits([words[i] for i in to], [_first(texts[i], e) for i in to]).astype(float), -30, 30)))
-    overall = _best_threshold(p, y)
-    bends = []
-    for k in range(len(c)):
-        own = near == k
-        t = _best_threshold(p[own], y[own]) if y[own].sum() >= 60 else overall
-        bends.append(np.log(threshold) / np.log(t))
+    bends = np.log(threshold) / np.log(_thresholds(p, y, near, len(c)))
     cnn, e = _train(texts, y, 7)
-    return Model(cnn.freeze(), prior, frequent, c, np.array(bends), e)
+    return Model(cnn.freeze(), prior, frequent, c, bends, e)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """op3, op8 and op10 by held-out accuracy."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ipaloom.llm import langid, quality, queries, toxicity
@@ -50,3 +51,26 @@ def test_language(spark, docs, odd, empty):
 def test_letters_beyond_the_basic_plane():
     got = langid.counts(["\U0001F600 12", "\U0001D49C\U0001D4B7", "\U0001F1E9\U0001F1EA"]).sum(axis=1)
     assert got[0] == got[2] == 0 and got[1] > 0
+
+
+def test_toxicity_calibrates_groups_with_few_toxic_texts():
+    # texts of a small group score lower, toxic or not, than those of the large one
+    p = np.concatenate([np.linspace(0.7, 0.9, 200), np.linspace(0.3, 0.5, 800), np.linspace(0.4, 0.5, 30), np.linspace(0.1, 0.2, 120)])
+    y = np.concatenate([np.ones(200), np.zeros(800), np.ones(30), np.zeros(120)]).astype(np.float32)
+    near = np.repeat([0, 1], [1000, 150])
+    large, small = toxicity._thresholds(p, y, near, 2)
+    assert 0.5 < large <= 0.7 and small < large
+    assert (p[near == 1] >= small).sum() == 30
+    # no own toxic text: the overall threshold still holds; a few pull less than many
+    assert abs(toxicity._thresholds(p, y, np.where(y == 1, 0, near), 2)[1] - toxicity._best_threshold(p, y)) < 0.25
+
+
+def test_toxicity_clusters_find_a_small_language():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(k * 20, k * 20 + 20, 60) for k in rng.choice(4, 2000, p=[0.9, 0.05, 0.03, 0.02])]
+    lang = np.array([t[0] // 20 for t in texts])
+    x = toxicity.profile(texts, np.arange(80))
+    near = (x @ toxicity._clusters(x, 6).T).argmax(axis=1)
+    for k in range(6):
+        assert len(set(lang[near == k])) <= 1
+    assert not len(toxicity._clusters(np.zeros((5, 3), np.float32), 6)) > 1
