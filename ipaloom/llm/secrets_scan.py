@@ -3,14 +3,15 @@
 Base kinds are assign, access and hex (see BASE); all their matches are
 reported. Beyond them every run of 20 or more key characters that holds a
 letter and a digit is a candidate; a convolutional network over the characters
-of the candidate and of the text around it, trained in numpy on labelled
-findings, decides. Its threshold is the largest that keeps ``recall`` of the
-held-out findings. Candidates it accepts are spans of kind ``key``, unless a
+of the whole candidate, however long, and of the text around it, trained in
+numpy on labelled findings, decides. Its threshold is the largest that keeps ``recall`` of the
+held-out findings, short and long ones each. Candidates it accepts are spans of kind ``key``, unless a
 base span covers them.
 
 The labelled findings are generated: keys in the formats that public services
 document, and harmless strings of like length (identifiers, paths, versions,
-dates, unique ids, repeated text), each in several surroundings.
+dates, unique ids, repeated text), each in several surroundings; and long runs
+of paths and joined identifiers with and without a key inside.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are
 reported alike; a null doc_id stays null; other columns are ignored by ``scan``
@@ -43,15 +44,15 @@ KINDS = [*BASE, "key"]
 #: Substrings of the lower-cased text without which no assignment can match.
 _NAMES = ("passw", "secret", "token", "api")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-LEFT, INSIDE, RIGHT = 24, 64, 12
+LEFT, RIGHT = 24, 12
 _LONG = 20
 
 
 def _window(text: str, start: int, end: int) -> np.ndarray:
-    """Character ids of a candidate (of its two ends, if it is long) and its context."""
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    code = lambda s, base: [base + min(ord(c), 127) for c in s]
-    return np.array(code(text[max(0, start - LEFT) : start], 1) + code(inside, 130) + code(text[end : end + RIGHT], 1), np.int64)
+    """Character ids of a candidate, which is ASCII, and its context."""
+    code = lambda s: np.array([1 + min(ord(c), 127) for c in s], np.int16)
+    inside = np.frombuffer(text[start:end].encode("ascii"), np.uint8).astype(np.int16) + 130
+    return np.concatenate([code(text[max(0, start - LEFT) : start]), inside, code(text[end : end + RIGHT])])
 
 
 @dataclass
@@ -65,8 +66,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.cnn.logits(windows).astype(float), -30, 30))) >= self.threshold
 
 
-def labelled_findings(n: int, seed: int = 17) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) of generated findings, half of them secrets."""
+def labelled_findings(n: int, seed: int = 17, long: bool = False) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of generated findings, half of them secrets; ``long`` ones are runs of joined words, with a key inside if they are secrets."""
     rng = np.random.default_rng(seed)
     pick = lambda s: s[int(rng.integers(len(s)))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -102,10 +103,24 @@ def labelled_findings(n: int, seed: int = 17) -> list[tuple[str, int, int, int]]
         (lambda: f"{words(3)} = \"", '" '), (lambda: f"{words(2)}: ", "\n"), (lambda: "Authorization: Bearer ", "\n"),
         (lambda: f"export {word().upper()}=", "\n"), (lambda: words(4) + " ", " "), (lambda: words(3) + " (", ") "), (lambda: "", ""),
     ]
+
+    def joined() -> str:
+        """Path, identifier or parameters of 30 characters or more, with a number here and there."""
+        mark, parts = pick("//--__="), []
+        while sum(map(len, parts)) < size() + 10:
+            shape = int(rng.integers(8))
+            parts.append(str(rng.integers(0, 3000)) if shape == 0 else word().capitalize() if shape == 1 else word())
+        return mark.join(parts)
+
+    def run(label: int) -> str:
+        mark = pick("//-_=")
+        middle = [pick(good)()] if label else [pick(bad)()] if rng.integers(2) else []
+        return mark.join([*(joined() for _ in range(int(rng.integers(1, 4)))), *middle, *(joined() for _ in range(int(rng.integers(1, 4)))), str(rng.integers(0, 99))])
+
     out = []
     for i in range(n):
         label = i % 2
-        body = pick(good if label else bad)()
+        body = run(label) if long else pick(good if label else bad)()
         if len(body) < _LONG:
             body += chars(string.digits, _LONG - len(body)) if label else "-" + "".join(word() for _ in range(10))
         before, after = pick(around)
@@ -117,14 +132,15 @@ def labelled_findings(n: int, seed: int = 17) -> list[tuple[str, int, int, int]]
 @functools.cache
 def fit(examples: int = 3000, recall: float = 0.97, epochs: int = 8) -> Model:
     """Train on generated findings; a third is held out to set the threshold."""
-    found = labelled_findings(examples)
+    found = labelled_findings(examples) + labelled_findings(examples // 2 * 2, 18, long=True)
     x, y = [_window(t, a, b) for t, a, b, _ in found], np.array([label for *_, label in found], np.float32)
     out = np.arange(len(y)) // 2 % 3 == 2
     cnn = TextCNN(260, 12, (2, 3, 5), 12, seed=5)
     cnn.fit([v for v, o in zip(x, out) if not o], y[~out], epochs=epochs)
     cnn.freeze()
     p = 1 / (1 + np.exp(-np.clip(cnn.logits([v for v, o in zip(x, out) if o]).astype(float), -30, 30)))
-    return Model(cnn, max(0.5, float(np.quantile(p[y[out] == 1], 1 - recall))))
+    kinds = np.repeat([0, 1], [examples, len(y) - examples])[out]
+    return Model(cnn, max(0.5, min(float(np.quantile(p[(y[out] == 1) & (kinds == k)], 1 - recall)) for k in (0, 1))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,7 +1,9 @@
 """op1 and op9 against plain regular expressions."""
 
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -100,3 +102,14 @@ def test_secrets_odd_rows_and_redaction(spark, odd, empty):
 
 def docs_of(spark):
     return spark.createDataFrame([(1, "token: abcdefgh")], "doc_id long, text string")
+
+
+def test_secrets_inside_long_runs():
+    model, rng = secrets_scan.fit(), random.Random(1)
+    words = "docs guide install linux server config release notes module handler account settings thumb large index public build target".split()
+    path = lambda n: "".join(rng.choice(words) + rng.choice("/-_") for _ in range(n))
+    key = lambda: "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36))
+    for n in (8, 20, 100):
+        ends = [(path(n), path(n)) for _ in range(100)]
+        found = {k: secrets_scan.spans_of([f"see {a}{middle()}/{b}9 end" for a, b in ends], model) for k, middle in (("key", key), ("none", lambda: "17"))}
+        assert sum(len(s) for _, s in found["key"]) >= 90 and sum(len(s) for _, s in found["none"]) <= 5
