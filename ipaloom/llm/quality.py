@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Each text becomes hashed TF-IDF counts of its words, of the shapes of its words
+Each text becomes hashed TF-IDF counts of its words (what has over 64 characters
+without white space, in pieces, see ``util.pieces``), of the shapes of its words
 (letter case, digits and symbols, runs collapsed) and of directly repeated
 words; a truncated SVD of a bounded labelled sample maps them to a few latent
 dimensions. The sample's vectors and labels (``sample`` rows at most, so under
@@ -36,7 +37,7 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 
 
 def _shape(word: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", kinds)
 
 
@@ -44,7 +45,7 @@ class _Terms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        plain = "".join(c for c in word[:64].lower() if c.isalnum())
+        plain = "".join(c for c in word.lower() if c.isalnum())
         value = (xxhash.xxh32_intdigest(plain) % WORDS) << 16 | (WORDS + xxhash.xxh32_intdigest(_shape(word)) % SHAPES)
         self[word] = value
         return value
@@ -55,7 +56,7 @@ _terms = _Terms()
 
 def counts(text: str | None) -> np.ndarray:
     """Term counts of one text."""
-    ids = np.fromiter(map(_terms.__getitem__, (text or "").split()), dtype=np.int64)
+    ids = np.fromiter(map(_terms.__getitem__, util.pieces(text or "")), dtype=np.int64)
     out = np.bincount(np.concatenate([ids >> 16, ids & 0xFFFF]), minlength=TERMS).astype(np.float32)
     out[REPEAT] = np.count_nonzero(ids[1:] == ids[:-1])
     return out

@@ -1,6 +1,7 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings.
 
-Words, lower-cased and stripped of outer punctuation, hash to embeddings; filters
+Words, lower-cased and stripped of outer punctuation, hash to embeddings (what
+has over 64 characters without white space, in pieces, see ``util.pieces``); filters
 of widths 1, 2 and 3 run over the whole text and keep their maxima, and a
 logistic layer gives a probability. Training is numpy, on a bounded labelled
 sample (``sample`` rows at most). The first component of a word's embedding is
@@ -67,7 +68,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) == len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        plain = word[:64].strip(_EDGE)
+        plain = word.strip(_EDGE)
         row = len(self)
         if plain:
             features = [plain, *(plain[:n] + "*" if len(plain) > n else plain for n in PREFIXES)]
@@ -83,7 +84,7 @@ def parts(text: str | None) -> np.ndarray:
     """The words of a text in order, a row each: bucket and features."""
     if len(_words) > CACHE:
         _words.clear()
-    rows = np.fromiter(map(_words.__getitem__, (text or "").lower().split()), dtype=np.int64)
+    rows = np.fromiter(map(_words.__getitem__, util.pieces((text or "").lower())), dtype=np.int64)
     got = _words.parts[rows]
     return got[got[:, 0] > 0]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: White space between words: space and the control characters 09 to 0D.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of a word that the classifiers hash as one.
+LONG = 64
+_PIECES = re.compile(rf"[^\W_]{{1,{LONG}}}|[\W_]{{1,{LONG}}}")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +108,14 @@ def fold_of(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def pieces(text: str) -> list[str]:
+    """Words between white space; those over LONG characters are cut into runs of letters and digits and runs of others, of LONG characters at most."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= LONG else _PIECES.findall(w))]
+
+
 def text_map(docs: DataFrame, fn, schema: str) -> DataFrame:
     """Run ``fn(iterator of (doc_ids, texts, rows))`` over (doc_id, text) Arrow batches."""
     ship(docs.sparkSession)

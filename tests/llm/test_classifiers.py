@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ipaloom.llm import langid, quality, queries, toxicity
+from ipaloom.llm import langid, quality, queries, toxicity, util
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,3 +74,17 @@ def test_toxicity_clusters_find_a_small_language():
     for k in range(6):
         assert len(set(lang[near == k])) <= 1
     assert not len(toxicity._clusters(np.zeros((5, 3), np.float32), 6)) > 1
+
+
+def test_text_without_white_space_is_read_to_its_end():
+    start = ",".join(["word"] * 30)
+    buckets = lambda t: set(toxicity.parts(t)[:, 0].tolist())
+    assert buckets("Vile") < buckets(start + ",vile") and not buckets("vile") & buckets(start)
+    for tail in ("_vile/x", "\u6f22" * 200, "a1B2" * 100):
+        assert buckets(start) < buckets(start + tail)
+        assert (quality.counts(start) != quality.counts(start + tail)).any()
+    blob, other = "x" * 64 + "y" * 64, "x" * 64 + "z" * 64
+    assert buckets(blob) != buckets(other) and (quality.counts(blob) != quality.counts(other)).any()
+    text = start + "\u00e9\u6f22-=" * 50 + " a b"
+    assert "".join(util.pieces(text)) == text.replace(" ", "") and max(map(len, util.pieces(text))) <= util.LONG
+    assert util.pieces("a " + "b-" * 32) == ["a", "b-" * 32]
