@@ -34,9 +34,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _entries(spark: SparkSession, sf_dir: str, langs=tuple(LANGUAGES)) -> DataFrame:
-    raw = dictionary.transcribe(dictionary.words_of(_read(spark, sf_dir, "documents").where(F.col("lang").isin(*langs))))
-    return dictionary.pretokenize(raw, {k: SPECS[k] for k in langs})
+def _entries(spark: SparkSession, sf_dir: str, langs=tuple(LANGUAGES), min_length: int = 3, min_tokens: int = 2) -> DataFrame:
+    raw = dictionary.transcribe(dictionary.words_of(_read(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)), min_length))
+    return dictionary.pretokenize(raw, {k: SPECS[k] for k in langs}, min_tokens)
 
 
 def _phrase_rows(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
@@ -161,6 +161,7 @@ def phoneme_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, word, syllables, frequency) of every word of any length."""
     encoders = {k: feat.BitEncoder(s) for k, s in SPECS.items()}
 
     @F.pandas_udf("array<struct<onset:string,nucleus:string,coda:string>>")
@@ -171,7 +172,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     counts = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(dictionary.LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("frequency"))
-    rows = _entries(spark, sf_dir).select("lang", "word", encode("lang", "tokens").alias("syllables"))
+    rows = _entries(spark, sf_dir, min_length=1, min_tokens=1).select("lang", "word", encode("lang", "tokens").alias("syllables"))
     return rows.join(counts, ["lang", "word"])
 
 
@@ -185,8 +186,8 @@ def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases as up to three French words."""
-    return beam.segment_phrases(_phrases(spark, sf_dir, False), _entries(spark, sf_dir, ("fr",)), FEATURES, beam.BeamConfig(max_words=3, top_k=3))
+    """Phrases as up to three French words of any length with two phonemes or more."""
+    return beam.segment_phrases(_phrases(spark, sf_dir, False), _entries(spark, sf_dir, ("fr",), min_length=1), FEATURES, beam.BeamConfig(max_words=3, top_k=3))
 
 
 def recovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:

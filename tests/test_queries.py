@@ -27,6 +27,16 @@ def test_query_gives_the_oracles_rows(spark, duck, name):
     assert rows == sorted((tuple(dict(zip(columns, r))[c] for c in names) for r in found.fetchall()), key=repr)
 
 
+def test_short_words_count(spark, duck):
+    """Queries without an oracle take words of one and two letters as well."""
+    rows = {(r["lang"], r["word"]): r["frequency"] for r in plans._encoded(spark, SF).collect()}
+    every = duck.sql(f"SELECT lang, word, count(*) FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{plans.dictionary.LETTERS}')) AS word FROM documents) GROUP BY ALL").fetchall()
+    spelled = {(r["lang"], r["word"]) for r in plans.dictionary.transcribe(spark.createDataFrame([(a, w) for a, w, _ in every], "lang string, word string")).collect()}
+    assert rows == {(a, w): n for a, w, n in every if (a, w) in spelled}
+    assert {len(w) for _, w in rows} >= {1, 2}
+    assert any(len(w) < 3 for r in plans.segmentation(spark, SF).collect() for w in r[2])
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
