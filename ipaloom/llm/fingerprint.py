@@ -13,8 +13,9 @@ document of each range goes to the range before as well, so that ``lead`` sees
 it; no task sorts more than its range.
 
 Defined cases: a null text counts as empty, with an empty fingerprint; texts
-with fewer than K words have one anchor, their words; texts without a word have
-none, and likeness to or of such a text is 0, or 1 between equal texts; null ids
+with fewer than K words have one anchor, their words; a text of K words or more
+without a closed syncmer (only K or K + 1 words can be) has one anchor, the run
+with the smallest edge; texts without a word have none, and likeness to or of such a text is 0, or 1 between equal texts; null ids
 come first in the order; equal ids are ordered by text, so repeated rows are
 each other's neighbours; in a table of one row that row follows itself; other
 columns are ignored.
@@ -42,9 +43,12 @@ def anchors(text: Column) -> Column:
         at = lambda i, j: F.get(g, i + j)
         closed = F.filter(F.sequence(F.lit(0), F.size(g) - (K - 1)), lambda i: F.least(at(i, 0), at(i, K - 2)) <= F.least(*[at(i, j) for j in range(1, K - 2)]))
         many = F.transform(closed, lambda i: F.xxhash64(*[at(i, j) for j in range(0, K - 1)]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        # runs of 5 or 6 words may have no closed one; then the one with the smallest edge, so that equal texts agree
+        edge = F.transform(F.sequence(F.lit(0), F.size(g) - (K - 1)), lambda i: F.struct(F.least(at(i, 0), at(i, K - 2)).alias("edge"), F.xxhash64(*[at(i, j) for j in range(0, K - 1)]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("anchor")))
+        sure = let(many, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.array_min(edge)["anchor"])))
         few = F.array(F.xxhash64(F.concat_ws(" ", w)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
         none = F.array().cast("array<int>")
-        return F.array_distinct(F.when(F.size(w) >= K, many).when(F.size(w) > 0, few).otherwise(none))
+        return F.array_distinct(F.when(F.size(w) >= K, sure).when(F.size(w) > 0, few).otherwise(none))
 
     return let(F.filter(F.split(text, SPACE), lambda x: x != ""), over)
 

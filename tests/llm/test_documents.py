@@ -80,6 +80,14 @@ def test_fingerprints(spark, docs, odd, empty):
     assert fingerprint.compare_edited(odd.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
+def test_short_texts_have_a_fingerprint(spark):
+    rng = random.Random(6)
+    texts = {i: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(5 + i % 4)) for i in range(800)}
+    rows = spark.createDataFrame([*texts.items(), *((1000 + i, t) for i, t in texts.items())], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(rows).collect()}
+    assert all(got[i] and got[i] == got[1000 + i] for i in texts) and len({got[i] for i in texts}) == len(texts)
+
+
 def brute_groups(texts, k, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
