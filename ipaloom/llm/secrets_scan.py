@@ -140,7 +140,12 @@ def fit(examples: int = 3000, recall: float = 0.97, epochs: int = 8) -> Model:
     cnn.freeze()
     p = 1 / (1 + np.exp(-np.clip(cnn.logits([v for v, o in zip(x, out) if o]).astype(float), -30, 30)))
     kinds = np.repeat([0, 1], [examples, len(y) - examples])[out]
-    return Model(cnn, max(0.5, min(float(np.quantile(p[(y[out] == 1) & (kinds == k)], 1 - recall)) for k in (0, 1))))
+    return Model(cnn, min(threshold_for(p[(y[out] == 1) & (kinds == k)], recall) for k in (0, 1)))
+
+
+def threshold_for(p: np.ndarray, recall: float) -> float:
+    """The largest threshold that at least the share ``recall`` of ``p`` reach."""
+    return float(np.sort(p)[len(p) - int(np.ceil(recall * len(p) - 1e-9))])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
