@@ -5,13 +5,16 @@ without white space, in pieces, see ``util.pieces``), of the shapes of its words
 (letter case, digits and symbols, runs collapsed) and of directly repeated
 words; a truncated SVD of a bounded labelled sample maps them to a few latent
 dimensions. The sample's vectors and labels (``sample`` rows at most, so under
-1 MB) are broadcast; every document takes exact cosines to all of them, one
+1 MB; see ``training`` for all its bounds) are broadcast; every document takes exact cosines to all of them, one
 matrix product a block, and its nearest vote with their similarity.
 
 Defined cases: null and empty texts have no terms and score the share of label
 1 in the sample; with no labelled row at all every score is 0.5; repeated rows
-score alike; a null doc_id is kept and counts as not held out; other columns
-are ignored. Labels, lang, source and doc_id are never inputs of a score.
+score alike; of equally near neighbours at the last place one votes; a score at
+the threshold counts as 1; very long texts are counted whole, one text at a
+time; an empty table gives no rows; a null doc_id is kept and counts as not held
+out; other columns are ignored by ``score`` and kept by ``keep_good``. Labels,
+lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations

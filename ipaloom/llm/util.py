@@ -33,12 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a folder of our own if all runs on this machine, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ipaloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -60,11 +59,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``; its rows can't be read afterwards."""
-    for name in df.inputFiles()[:1]:
-        for path in [p for p in _written if p.rpartition("/")[2] in name]:
-            _delete(path, _written.pop(path))
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``frames``; their rows can't be read afterwards."""
+    for df in frames:
+        for name in df.inputFiles()[:1]:
+            for path in [p for p in _written if p.rpartition("/")[2] in name]:
+                _delete(path, _written.pop(path))
 
 
 def _delete(path: str, spark: SparkSession) -> None:
