@@ -10,7 +10,11 @@ learned texts are from theirs (the language is still given).
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 with no learned language every text is ``und``; ties go to the first language
 in alphabetical order; rows with a null lang are predicted but not learned
-from; a null doc_id counts as not held out; repeated rows are predicted alike.
+from; a null doc_id counts as not held out; repeated rows are predicted alike
+and learned from once; very long texts are counted whole (in pieces that carry
+their last two letters on), but texts over ``training.LONGEST`` characters are
+not learned from; an empty table gives no rows; other columns are ignored. More
+than MAX_LANGS languages are an error.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ipaloom.llm import util
+from ipaloom.llm.training import LONGEST
 
 BUCKETS = 4096
-#: Characters that are counted at once; longer texts go in pieces that overlap by two.
+#: Characters that are counted at once; longer texts go in pieces.
 STEP = 1 << 20
+#: Languages whose centroids are broadcast at most, 128 MB.
+MAX_LANGS = 2000
 _letters: np.ndarray | None = None
 
 
@@ -38,41 +45,45 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points of the letters, every other run as one space, with a space at either end."""
-    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where(_letter_table()[c], c, 32)
-    gap = c == 32
-    return c[~(gap & np.concatenate([[False], gap[:-1]]))]
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Code points of the letters, every other run as one space, with a space at either end; in pieces that begin with the two codes before."""
+    text = text.lower()
+    last = np.array([32], np.uint32)
+    for at in range(0, len(text), STEP):
+        c = np.frombuffer(text[at : at + STEP].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = np.concatenate([last, np.where(_letter_table()[c], c, 32), [32] if at + STEP >= len(text) else []]).astype(np.uint64)
+        gap = c == 32
+        c = c[~(gap & np.concatenate([[False], gap[:-1]]))]
+        yield c
+        last = c[-2:]
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
     """Trigram counts, a row for each text; all zero without a letter."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
-    group: list[tuple[int, str]] = []
+    group: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush():
         nonlocal size
-        if group:
-            codes = [_codes(t) for _, t in group]
+        if size > 2:
+            codes = [c for _, c in group]
             lengths = np.array([len(c) for c in codes])
-            flat = np.concatenate(codes).astype(np.uint64)
+            flat = np.concatenate(codes)
             row = np.repeat(np.arange(len(codes)), lengths)
             h = flat[:-2] * np.uint64(0x9E3779B97F4A7C15) + flat[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + flat[2:] * np.uint64(0x165667B19E3779F9)
             h ^= h >> np.uint64(31)
             h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-            own = (row[:-2] == row[2:]) & ((flat[:-2] != 32) | (flat[1:-1] != 32))
+            own = row[:-2] == row[2:]
             got = np.bincount(row[:-2][own] * BUCKETS + h[own].astype(np.int64), minlength=len(codes) * BUCKETS).reshape(len(codes), BUCKETS)
             np.add.at(out, np.array([r for r, _ in group]), got.astype(np.float32))
         group.clear()
         size = 0
 
     for r, t in enumerate(texts):
-        t = t or ""
-        for at in range(0, len(t), STEP):
-            group.append((r, t[at : at + STEP + 2]))
-            size += min(STEP, len(t) - at)
+        for codes in _codes(t or ""):
+            group.append((r, codes))
+            size += len(codes)
             if size >= STEP or len(group) >= 256:
                 flush()
     flush()
@@ -92,6 +103,11 @@ class Model:
         x = np.log1p(x) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
+    def number(self, x: np.ndarray) -> np.ndarray:
+        """Place of each row's language in ``langs``, their number for ``und``."""
+        place = {lang: i for i, lang in enumerate(self.langs)} | {"und": len(self.langs)}
+        return np.array([place[p] for p in self.predict(x)[0]], int)
+
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         known = x.sum(axis=1) > 0
         if not self.langs:
@@ -115,17 +131,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int) -> DataFrame:
-    """(text, lang) of about ``per_lang`` documents of each language, chosen by a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    """(text, lang) of at most ``per_lang`` different texts of each language, those with the smallest hash."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= LONGEST) & learn).select("text", "lang", F.xxhash64("text").alias("_h"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
     if not sizes:
         return known.select("text", "lang").limit(0)
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1 << 30, (per_lang << 30) // n))])
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", "lang")
+    # somewhat more than is needed, then the smallest hashes; a copied text counts once before it is ranked
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1 << 30, (3 * per_lang << 29) // max(n, 1)))])
+    rows = known.where(F.pmod("_h", F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "text")
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang).select("text", "lang")
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = 600, clusters: int = 4) -> Model:
-    """Centroids from about ``per_lang`` documents of each language (at most 1000 languages)."""
+    """Centroids from at most ``per_lang`` texts of each language; their counted trigrams reach the driver."""
     util.ship(docs.sparkSession)
     rows = sample(docs, learn, per_lang).mapInArrow(_counted, "ids array<int>, n array<float>, lang string").toArrow().to_pylist()
     rows = sorted((r for r in rows if r["ids"]), key=lambda r: (r["lang"], r["ids"], r["n"]))
