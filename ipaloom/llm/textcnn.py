@@ -1,12 +1,15 @@
 """A small convolutional text classifier in numpy: embedding, several filter widths, max pooling, logistic output.
 
-Input is ragged: one flat array of ids and the start of each text. As the
-convolution is linear in each offset, scoring uses one table of products
+Input is ragged: one flat array of ids and the start of each text. A token is an
+id, or a row of ids whose embeddings add up (a word and its beginnings, say). As
+the convolution is linear in each offset, scoring uses one table of products
 (embedding x filter) per offset, so a filter costs a look-up and an addition.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 PAD = 0
@@ -16,7 +19,7 @@ def flatten(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids with ``pad`` padding ids after each text, and each text's start."""
     lengths = np.array([len(t) + pad for t in texts])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    flat = np.zeros(int(lengths.sum()), dtype=np.int64)
+    flat = np.zeros((int(lengths.sum()), *(texts[0].shape[1:] if len(texts) else ())), dtype=np.int64)
     for s, t in zip(starts, texts):
         flat[s : s + len(t)] = t
     return flat, starts
@@ -27,7 +30,6 @@ class TextCNN:
         rng = np.random.default_rng(seed)
         self.widths, self.filters = widths, filters
         self.e = (rng.standard_normal((vocab, dim)) * 0.1).astype(np.float32)
-        self.e[:, 0] = 0
         self.e[PAD] = 0
         self.w = [(rng.standard_normal((k, dim, filters)) * (1.0 / np.sqrt(k * dim))).astype(np.float32) for k in widths]
         self.b = [np.zeros(filters, np.float32) for _ in widths]
@@ -40,18 +42,22 @@ class TextCNN:
         self.tables = [[self.e @ w[o] for o in range(k)] for k, w in zip(self.widths, self.w)]
         return self
 
-    def _conv(self, flat: np.ndarray, i: int, first: np.ndarray | None) -> np.ndarray:
+    def over(self, e: np.ndarray) -> "TextCNN":
+        """The same network over other tokens, whose embeddings are ``e``; scoring only."""
+        out = copy.copy(self)
+        out.e = e
+        return out.freeze()
+
+    def _conv(self, flat: np.ndarray, i: int) -> np.ndarray:
         k, w = self.widths[i], self.w[i]
         n = len(flat) - (max(self.widths) - 1)
         z = np.repeat(self.b[i][None], n, axis=0)
         for o in range(k):
             at = flat[o : n + o]
             z += self.tables[i][o][at] if self.tables is not None else self.e[at] @ w[o]
-            if first is not None:
-                z += first[o : n + o, None] * w[o][0]
         return z
 
-    def pooled(self, texts: list[np.ndarray], first: list[np.ndarray] | None = None, step: int = 1 << 17) -> np.ndarray:
+    def pooled(self, texts: list[np.ndarray], step: int = 1 << 17) -> np.ndarray:
         """Max-pooled activations; long texts go through in pieces that overlap by the filter width."""
         pad = max(self.widths) - 1
         out = np.zeros((len(texts), self.filters * len(self.widths)), np.float32)
@@ -63,13 +69,7 @@ class TextCNN:
                 return
             flat, starts = flatten([texts[r][at : at + step + pad] for r, at in group], pad)
             flat = np.concatenate([flat, np.zeros(pad, np.int64)])
-            values = None
-            if first is not None:
-                values = np.zeros(len(flat), np.float32)
-                for s, (r, at) in zip(starts, group):
-                    piece = first[r][at : at + step + pad]
-                    values[s : s + len(piece)] = piece
-            z = np.concatenate([np.maximum.reduceat(self._conv(flat, i, values), starts, axis=0) for i in range(len(self.widths))], axis=1)
+            z = np.concatenate([np.maximum.reduceat(self._conv(flat, i), starts, axis=0) for i in range(len(self.widths))], axis=1)
             np.maximum.at(out, np.array([r for r, _ in group]), z)
             group.clear()
 
@@ -83,20 +83,23 @@ class TextCNN:
         flush()
         return out
 
-    def logits(self, texts: list[np.ndarray], first: list[np.ndarray] | None = None) -> np.ndarray:
-        return self.pooled(texts, first) @ self.v + self.c[0]
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        return self.pooled(texts) @ self.v + self.c[0]
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, slow: float = 1.0, seed: int = 3, first: list[np.ndarray] | None = None) -> "TextCNN":
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, sparse: float = 0.0, drop: float = 0.0, seed: int = 3) -> "TextCNN":
         """Adam on the logistic loss, weighted to even classes.
 
-        ``slow``: the embedding's share of ``rate``. ``first``: the words' first
-        embedding component, given from outside and not trained.
+        ``sparse``: a rate of its own for the embedding, whose touched rows alone
+        are then updated (Adagrad). ``drop``: the share of ids that are left out
+        at random in training.
         """
         rng = np.random.default_rng(seed)
-        params = [self.e, self.v, self.c, *self.w, *self.b]
+        params = [self.v, self.c, *self.w, *self.b, *(() if sparse else (self.e,))]
         m = [np.zeros_like(p) for p in params]
         s = [np.zeros_like(p) for p in params]
+        seen = np.full(len(self.e), 1e-8, np.float32)
         t = 0
+        n_w = len(self.widths)
         pad = max(self.widths) - 1
         weight = np.where(y == 1, 0.5 / max(1e-6, y.mean()), 0.5 / max(1e-6, 1 - y.mean()))
         for _ in range(epochs):
@@ -104,13 +107,13 @@ class TextCNN:
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
                 flat, starts = flatten([texts[r] for r in rows], pad)
-                flat = np.concatenate([flat, np.zeros(pad, np.int64)])
+                flat = np.concatenate([flat, np.zeros((pad, *flat.shape[1:]), np.int64)])
+                if drop:
+                    flat = np.where(rng.random(flat.shape) >= drop, flat, PAD)
                 n = len(flat) - pad
                 doc = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, n)))
                 x = self.e[flat]
-                if first is not None:
-                    for start, r in zip(starts, rows):
-                        x[start : start + len(first[r]), 0] = first[r]
+                x = x.sum(axis=1) if x.ndim == 3 else x
                 zs, args = [], []
                 for i, k in enumerate(self.widths):
                     z = sum(x[o : n + o] @ self.w[i][o] for o in range(k)) + self.b[i]
@@ -123,25 +126,42 @@ class TextCNN:
                 h = np.concatenate(zs, axis=1)
                 p = 1 / (1 + np.exp(-(h @ self.v + self.c[0])))
                 g = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-                grads = [np.zeros_like(p_) for p_ in params]
-                grads[1] = h.T @ g
-                grads[2][0] = g.sum()
+                grads = [np.zeros_like(p_) for p_ in params[: 2 + 2 * n_w]]
+                grads[0] = h.T @ g
+                grads[1][0] = g.sum()
                 dh = np.outer(g, self.v) * (h > 0)
+                tokens, slopes = [], []
                 for i, k in enumerate(self.widths):
                     d = dh[:, i * self.filters : (i + 1) * self.filters]
-                    grads[3 + len(self.widths) + i] = d.sum(0)
+                    grads[2 + n_w + i] = d.sum(0)
                     for o in range(k):
                         at_ = args[i] + o
-                        grads[3 + i][o] = np.einsum("bfd,bf->df", x[at_], d)
-                        de = d[:, :, None] * self.w[i][o].T[None]
-                        np.add.at(grads[0], flat[at_].ravel(), de.reshape(-1, de.shape[2]))
-                if first is not None:
-                    grads[0][:, 0] = 0
-                grads[0][PAD] = 0
+                        grads[2 + i][o] = np.einsum("bfd,bf->df", x[at_], d)
+                        tokens.append(at_.ravel())
+                        slopes.append((d[:, :, None] * self.w[i][o].T[None]).reshape(-1, self.e.shape[1]))
+                grads += self._embedding_grad(flat[np.concatenate(tokens)], np.concatenate(slopes), sparse, seen)
                 t += 1
                 for p_, g_, m_, s_ in zip(params, grads, m, s):
                     g_ = g_ + decay * p_ if p_.ndim > 1 and p_ is not self.e else g_
                     m_ += 0.1 * (g_ - m_)
                     s_ += 0.001 * (g_ * g_ - s_)
-                    p_ -= (slow if p_ is self.e else 1.0) * rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)
+                    p_ -= rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)
         return self
+
+    def _embedding_grad(self, ids: np.ndarray, slopes: np.ndarray, sparse: float, seen: np.ndarray) -> list[np.ndarray]:
+        """The embedding's gradient, or nothing after a sparse step of its own."""
+        if not sparse:
+            out = np.zeros_like(self.e)
+            np.add.at(out, ids.ravel(), np.repeat(slopes, ids.size // len(ids), axis=0))
+            out[PAD] = 0
+            return [out]
+        live = np.abs(slopes).sum(axis=1) > 0
+        ids, slopes = ids[live], slopes[live]
+        if len(ids):
+            own, at = np.unique(ids.ravel(), return_inverse=True)
+            total = np.zeros((len(own), slopes.shape[1]), np.float32)
+            np.add.at(total, at, np.repeat(slopes, ids.size // len(ids), axis=0))
+            total[own == PAD] = 0
+            seen[own] += (total**2).mean(axis=1)
+            self.e[own] -= sparse * total / np.sqrt(seen[own])[:, None]
+        return []

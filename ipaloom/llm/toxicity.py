@@ -1,25 +1,32 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings.
 
-Words, lower-cased and stripped of outer punctuation, hash to embeddings (what
-has over 64 characters without white space, in pieces, see ``util.pieces``); filters
-of widths 1, 2 and 3 run over the whole text and keep their maxima, and a
-logistic layer gives a probability. Training is numpy, on a bounded labelled
-sample (``sample`` rows at most). The first component of a word's embedding is
-evidence: how surely the word or one of its beginnings (PREFIXES letters, so
-that inflected words count) marks toxic texts of the sample, taken from the
-other folds for the texts of a fold. The others are trained.
-
-The threshold is calibrated by language: texts are grouped by the profile of
-their most frequent words (k-means without any label, as lang is never an
-input, so clusters stand in for languages), the best threshold of each group is
-found on cross-fitted scores, and scores are bent so that it lies at
-``threshold`` for every group. Every group is calibrated, however few its toxic
-texts: the sample's other texts count in with a weight of SHRINK toxic texts in
-all, so that a group's threshold moves from the overall one as its own texts add up.
+Words, lower-cased and stripped of outer punctuation (what has over 64
+characters without white space, in pieces, see ``util.pieces``), hash to
+embeddings: a word's is the sum of those of the word and of its beginnings of
+PREFIXES letters, so that inflected words share what is learned. Filters of
+widths 1, 2 and 3 run over the whole text and keep their maxima, and a logistic
+layer gives a probability. All of it is trained in numpy, from random
+embeddings, on a bounded labelled sample (``sample`` rows at most, see
+``training``); half of the ids are left out at random while it learns, so that
+beginnings learn as well as words.
+
+The threshold is calibrated by language, as ``langid`` predicts it from the
+text: a language model learned from the documents that may be learned from (lang
+itself is never an input of a score). The best threshold of each language is
+found on cross-fitted scores of the sample, and scores are bent so that it lies
+at ``threshold`` for every language. Every language is calibrated, however few
+its toxic texts: the sample's other texts count in with a weight of SHRINK toxic
+texts in all, so that a language's threshold moves from the overall one as its
+own texts add up. Texts without a predicted language have a group of their own.
+Where no language can be learned, clusters of texts by their most frequent words
+stand in.
 
 Defined cases: null and empty texts get the score of a text without words; with
 no labelled row, or labels of one kind only, every score is that share of label
-1; repeated rows score alike; a null doc_id counts as not held out.
+1; repeated rows score alike; equal scores at the threshold are all predicted 1;
+a null doc_id is kept and counts as not held out; very long texts are scored
+whole, in pieces that overlap by the filter width; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,20 +40,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ipaloom.llm import util
+from ipaloom.llm import langid, util
 from ipaloom.llm.textcnn import TextCNN
 from ipaloom.llm.training import labelled_sample
 
 BUCKETS = 1 << 16
 FOLDS = 5
-#: Buckets of words and their beginnings, and the lengths of those.
-FEATURES = 1 << 20
+#: Embeddings of words and their beginnings, and the lengths of those.
+FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
 FREQUENT = 128
-#: Standard errors below the observed share.
-CONFIDENCE = 1.64
-#: The embedding learns at this share of the rate.
-SLOW = 0.1
+#: Embedding width, filter widths, filters of each; rate of the embedding; share of ids left out in training.
+DIM, WIDTHS, FILTERS, RATE, DROP = 8, (1, 2, 3), 6, 0.1, 0.5
 #: Toxic texts that the whole sample counts as in a group's threshold.
 SHRINK = 20
 #: Starts of the clustering, of which the closest clusters are kept.
@@ -56,7 +61,7 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 class _Words(dict):
-    """Word -> row of ``parts``: its bucket, and those of its features."""
+    """Word -> row of ``parts``: its bucket, and the ids of its embeddings."""
 
     def __init__(self):
         self.parts = np.zeros((1024, 2 + len(PREFIXES)), np.int64)
@@ -89,25 +94,42 @@ def parts(text: str | None) -> np.ndarray:
     return got[got[:, 0] > 0]
 
 
+_KEY = np.random.default_rng(31).integers(1, 1 << 62, 1 + len(PREFIXES), dtype=np.int64) * 2 + 1
+
+
+def _logits(cnn: TextCNN, texts: list[np.ndarray]) -> np.ndarray:
+    """Logits of texts given as rows of ``parts``; each distinct word is embedded once."""
+    flat = np.concatenate([t[:, 1:] for t in texts])
+    _, first, at = np.unique((flat * _KEY).sum(axis=1), return_index=True, return_inverse=True)
+    e = np.concatenate([np.zeros((1, DIM), np.float32), cnn.e[flat[first]].sum(axis=1)])
+    ends = np.cumsum([len(t) for t in texts])
+    return cnn.over(e).logits(np.split(at + 1, ends[:-1])).astype(float)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class Model:
     cnn: TextCNN | None
     prior: float
+    lang: langid.Model | None
     frequent: np.ndarray
     groups: np.ndarray
     bends: np.ndarray
-    evidence: np.ndarray
 
-    def group(self, texts: list[np.ndarray]) -> np.ndarray:
-        x = profile(texts, self.frequent)
-        return (x @ self.groups.T).argmax(axis=1)
+    def group(self, raw: list[str | None], texts: list[np.ndarray]) -> np.ndarray:
+        """Number of each text's predicted language, or of its cluster."""
+        if self.lang is not None:
+            return self.lang.number(langid.counts(raw))
+        return (profile([t[:, 0] for t in texts], self.frequent) @ self.groups.T).argmax(axis=1)
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        if self.cnn is None:
-            return np.full(len(texts), self.prior)
-        words = [t[:, 0] for t in texts]
-        p = 1 / (1 + np.exp(-np.clip(self.cnn.logits(words, [_first(t, self.evidence) for t in texts]).astype(float), -30, 30)))
-        return p ** self.bends[self.group(words)]
+    def scores(self, raw: list[str | None]) -> np.ndarray:
+        if self.cnn is None or not raw:
+            return np.full(len(raw), self.prior)
+        texts = [parts(t) for t in raw]
+        return _sigmoid(_logits(self.cnn, texts)) ** self.bends[self.group(raw, texts)]
 
 
 def profile(texts: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
@@ -122,39 +144,9 @@ def profile(texts: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _evidence(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """How surely a feature marks label 1: log-odds of the lower confidence bound of its texts' share of label 1, over that of all texts."""
-    n, t = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
-    for x, label in zip(texts, y):
-        own = np.unique(x[:, 1:])
-        n[own] += 1
-        t[own] += label
-    share, z2 = t / np.maximum(n, 1), CONFIDENCE**2
-    low = (share + z2 / (2 * n + 1e-9) - CONFIDENCE * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z2 / (4 * n**2 + 1e-9))) / (1 + z2 / (n + 1e-9))
-    low = np.where(n > 0, np.clip(low, 1e-6, 1 - 1e-6), 1e-6)
-    return np.clip(np.log(low / (1 - low)) - np.log(y.mean() / (1 - y.mean())), 0, 6).astype(np.float32)
-
-
-def _first(text: np.ndarray, evidence: np.ndarray) -> np.ndarray:
-    """The first embedding component of a text's words."""
-    return evidence[text[:, 1:]].max(axis=1) if len(text) else np.zeros(0, np.float32)
-
-
-def _train(texts: list[np.ndarray], y: np.ndarray, seed: int) -> tuple[TextCNN, np.ndarray]:
-    """The network, trained on evidence from other folds, and the evidence of all texts."""
-    cnn = TextCNN(BUCKETS, 8, (1, 2, 3), 6, seed=seed)
-    cnn.w[0][0, 0, :3] = 1.0
-    cnn.b[0][:3] = -1.5
-    cnn.v[:3] = 1.0
-    first: list = [None] * len(y)
-    fold = np.arange(len(y)) % FOLDS
-    for k in range(FOLDS):
-        others = np.flatnonzero(fold != k)
-        e = _evidence([texts[i] for i in others], y[others])
-        for i in np.flatnonzero(fold == k):
-            first[i] = _first(texts[i], e)
-    cnn.fit([t[:, 0] for t in texts], y, epochs=max(4, min(40, 16_000 // len(y))), first=first, slow=SLOW)
-    return cnn, _evidence(texts, y)
+def _train(texts: list[np.ndarray], y: np.ndarray, seed: int) -> TextCNN:
+    cnn = TextCNN(FEATURES, DIM, WIDTHS, FILTERS, seed=seed)
+    return cnn.fit([t[:, 1:] for t in texts], y, epochs=max(6, min(40, 16_000 // len(y))), batch=32, sparse=RATE, drop=DROP)
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
@@ -197,42 +189,56 @@ def _clusters(x: np.ndarray, groups: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, threshold: float = 0.7, groups: int = 6) -> Model:
-    """Train on at most ``sample`` labelled documents; their hashed words reach the driver."""
-    util.ship(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "toxic", learn, sample).select("text", "y").mapInArrow(_hashed, "ids array<int>, y int").toArrow()
-    rows = [{"ids": i.values.to_numpy(zero_copy_only=False), "y": label} for i, label in zip(rows.column("ids"), rows.column("y").to_pylist())]
-    rows = sorted(rows, key=lambda r: (xxhash.xxh32_intdigest(r["ids"].tobytes()), r["y"]))
-    y = np.array([r["y"] for r in rows], np.float32)
-    texts = [np.array(r["ids"], np.int64).reshape(-1, 2 + len(PREFIXES)) for r in rows]
+    """Train on at most ``sample`` rows of labelled documents; their hashed words reach the driver.
+
+    ``learn``, over doc_id, says which rows of ``labels`` and of ``docs`` may be
+    learned from. ``groups``: clusters, where no language can be learned.
+    """
+    spark = docs.sparkSession
+    util.ship(spark)
+    lang = langid.fit(docs, learn) if "lang" in docs.columns else None
+    lang = lang if lang is not None and lang.langs else None
+    shared = spark.sparkContext.broadcast(lang)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = part.column(0).to_pylist()
+                near = shared.value.number(langid.counts(raw)) if shared.value else np.zeros(len(raw), int)
+                ids = pa.array([parts(t).astype(np.int32).ravel() for t in raw], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, part.column(1).cast(pa.int32()), pa.array(near.astype(np.int32))], names=["ids", "y", "near"])
+        util.tidy(_words)
+
+    rows = labelled_sample(docs, labels, "toxic", learn, sample).select("text", "y").mapInArrow(hashed, "ids array<int>, y int, near int").toArrow()
+    ids = [i.values.to_numpy(zero_copy_only=False) for i in rows.column("ids")]
+    y, near = (np.array(rows.column(c).to_pylist(), int) for c in ("y", "near"))
+    # the order of arrival must not matter
+    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(ids[i].tobytes()), y[i], near[i]))
+    texts = [ids[i].astype(np.int64).reshape(-1, 2 + len(PREFIXES)) for i in order]
+    y, near = y[order].astype(np.float32), near[order]
     prior = float(y.mean()) if len(y) else 0.0
     if len(y) < 2 * FOLDS or prior in (0.0, 1.0):
-        return Model(None, prior, np.zeros(0, int), np.zeros((1, 0)), np.ones(1), np.zeros(FEATURES, np.float32))
-    words = [t[:, 0] for t in texts]
-    df = np.zeros(BUCKETS)
-    for w in words:
-        df[np.unique(w)] += 1
-    frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
-    x = profile(words, frequent)
-    c = _clusters(x, groups)
-    near = (x @ c.T).argmax(axis=1)
+        return Model(None, prior, None, np.zeros(0, int), np.zeros((1, 0)), np.ones(1))
+    frequent, c = np.zeros(0, int), np.zeros((1, 0))
+    if lang is None:
+        words = [t[:, 0] for t in texts]
+        df = np.zeros(BUCKETS)
+        for w in words:
+            df[np.unique(w)] += 1
+        frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+        x = profile(words, frequent)
+        c = _clusters(x, groups)
+        near = (x @ c.T).argmax(axis=1)
     # scores for calibration come from the half that a text is not in
     half = (np.arange(len(y)) // FOLDS) % 2
     p = np.zeros(len(y))
     for k in (0, 1):
         at, to = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        if y[at].min() == y[at].max():
-            continue
-        cnn, e = _train([texts[i] for i in at], y[at], 7 + k)
-        p[to] = 1 / (1 + np.exp(-np.clip(cnn.logits([words[i] for i in to], [_first(texts[i], e) for i in to]).astype(float), -30, 30)))
-    bends = np.log(threshold) / np.log(_thresholds(p, y, near, len(c)))
-    cnn, e = _train(texts, y, 7)
-    return Model(cnn.freeze(), prior, frequent, c, bends, e)
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([parts(t.as_py()).astype(np.int32).ravel() for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["ids", "y"])
-    util.tidy(_words)
+        if y[at].min() < y[at].max():
+            p[to] = _sigmoid(_logits(_train([texts[i] for i in at], y[at], 7 + k), [texts[i] for i in to]))
+    bends = np.log(threshold) / np.log(_thresholds(p, y, near, len(lang.langs) + 1 if lang else len(c)))
+    return Model(_train(texts, y, 7), prior, lang, frequent, c, bends)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -246,7 +252,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                s = m.scores([parts(t.as_py()) for t in part.column(1)])
+                s = m.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
         util.tidy(_words)
 
