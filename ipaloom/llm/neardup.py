@@ -7,27 +7,35 @@ mergeable, and two sets' registers agree about as often as the sets do.
 1. Every row gets its set's 64-bit digest (its node) and the hashes of BANDS
    bands of registers, in one pass over the texts, written to the shared folder.
    Equal sets share a node from here on, so exact copies cost one row each.
-2. Nodes that share a band's value are tied to the smallest node of that bucket
-   (minimum and count are pre-aggregated; no pairs are made). The ties'
-   connected components are clusters: whatever could be linked is inside one.
-3. Clusters are compared in blocks of bounded size: small clusters share a task,
-   large ones become tasks of two blocks each, so a hot group is spread over as
-   many tasks as it has pairs of blocks. Inside a task, pairs are screened by
-   the joint maximum-likelihood estimate from the two sketches and the set
-   sizes; those that may reach the threshold are confirmed by exact
-   intersection, through an inverted index of the block. Tasks return spanning
-   links only.
-4. Components of the confirmed links are the groups.
+2. Nodes that share a band's value form a bucket and are tied to its smallest
+   node (minimum and count are pre-aggregated; no pairs are made).
+3. Stars: every node is compared with the smallest node that it is tied to, one
+   comparison a node. A hub's partners are dealt in blocks, each with a copy of
+   the hub's text. The confirmed links' components settle all buckets whose
+   nodes then lie in one component.
+4. What shares a bucket with a node of another component is compared further:
+   such buckets' connected clusters go to tasks, small ones several to a task,
+   large ones cut into blocks, one task for two blocks. Pairs inside one
+   component are not compared, nor blocks of the component that dominates a
+   cluster with each other.
+5. Components of all confirmed links are the groups.
+
+Inside a task, pairs are screened by the joint maximum-likelihood estimate from
+the two sketches and the set sizes; those that may reach the threshold are
+confirmed by exact intersection, through an inverted index of the block. Tasks
+return spanning links only.
 
 With 30 bands of 5 registers two sets at similarity 0.8 miss all buckets with
 probability 7e-6, less the more alike they are. Nothing is capped or sampled.
-The comparisons inside one cluster grow with the square of its distinct sets.
+Step 4's comparisons grow with the square of a cluster's distinct sets outside
+its dominant component: of sets that share a bucket but are not alike enough.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and stay; texts with fewer than ``k`` words have one shingle, their
 words; rows with the same doc_id are separate documents; null ids take part but
-never name a group; an empty table gives no rows; other columns are ignored by
-``groups`` and kept by ``dedup``. Distinct sets are told apart by a 64-bit
+never name a group; very long texts are cut into shingles whole; the smallest
+doc_id, then text hash, stays of a group; an empty table gives no rows; other
+columns are ignored by ``groups`` and kept by ``dedup``. Distinct sets are told apart by a 64-bit
 digest of all shingles.
 """
 
@@ -137,8 +145,8 @@ class _Union:
             self.parent[max(a, b)] = min(a, b)
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among ``sets``, pairs of a ``left`` and a ``right`` set (masks) compared."""
+def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links among ``sets``, pairs of a ``left`` and a ``right`` set (masks) compared; those of one ``group`` (numbers) are linked already."""
     n = np.array([len(s) for s in sets])
     regs = np.stack([registers(s) for s in sets])
     at_right = np.flatnonzero(right)
@@ -147,7 +155,7 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     union, n_right, r_right = _Union(len(sets)), n[at_right], regs[at_right]
-    group = np.arange(len(sets))
+    group = np.arange(len(sets)) if group is None else group.copy()
     for a in np.flatnonzero(left):
         fits = (100 * np.minimum(n[a], n_right) >= percent * np.maximum(n[a], n_right)) & (group[at_right] != group[a])
         if not fits.any():
@@ -170,6 +178,14 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return [(i, union.find(i)) for i in range(len(sets)) if union.find(i) != i]
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_hash, node, n, bands) of every row; node and bands are null for empty sets."""
     util.ship(docs.sparkSession)
@@ -198,53 +214,104 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _ties(nodes: DataFrame) -> DataFrame:
-    """(u, v): every node of a bucket with the smallest of it."""
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = util.materialize(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).where("c > 1"))
-    pairs = buckets.where("c = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
-    large = buckets.where("c > 2").select("key", "low")
-    rest = keys.join(_small(large, large.count()), "key").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    return pairs.union(rest).where("u != v").distinct()
-
-
-def _confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): spanning links inside the clusters."""
-    members = util.materialize(nodes.select("doc_id", "text_hash", "node", "n").join(clusters.withColumnRenamed("component", "cluster"), "node"))
-    n_members = members.count()
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    """(key, c, low, node, n): every node of a bucket but its smallest, with that one; c: the bucket's nodes, n: the node's shingles."""
+    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = util.materialize(keys.groupBy("key").agg(F.min("node").alias("low"), F.max(F.struct("node", "n")).alias("high"), F.count("*").alias("c")).where("c > 1"))
+    pairs = buckets.where("c = 2").select("key", "c", "low", "high.node", "high.n")
+    large = buckets.where("c > 2").select("key", "c", "low")
+    rest = keys.join(_small(large, large.count()), "key").select("key", "c", "low", "node", "n")
+    out = util.materialize(pairs.union(rest).where("low != node"))
+    util.drop(buckets)
+    return out
+
+
+def _stars(ties: DataFrame) -> DataFrame:
+    """Work rows (see ``_confirmed``) that compare every tied node with the smallest it is tied to."""
+    pairs = util.materialize(ties.groupBy("node").agg(F.min("low").alias("cluster"), F.first("n").alias("n")))
+    blocks = F.ceil(F.sum("n") / BLOCK).cast("int")
+    hubs = util.materialize(pairs.groupBy("cluster").agg(F.sum("n").alias("total"), blocks.alias("blocks")))
+    task = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(_pooled(hubs))))
+    part = lambda c: F.when(F.col("blocks") > 1, c).otherwise(F.lit(-1))
+    none = F.lit(None).cast("long")
+    of_hub = hubs.select(task.alias("task"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "*").select("task", part(F.col("b")).alias("i"), F.lit(-1).alias("j"), "cluster", F.col("cluster").alias("node"), F.lit(1).alias("side"), none.alias("label"))
+    rest = pairs.join(_small(hubs.select("cluster", "blocks"), hubs.count()), "cluster")
+    rest = rest.select(task.alias("task"), part(F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")).alias("i"), F.lit(-1).alias("j"), "cluster", "node", F.lit(2).alias("side"), none.alias("label"))
+    return of_hub.union(rest)
+
+
+def _pooled(sizes: DataFrame) -> int:
+    """Tasks for the clusters (total, blocks) of one block."""
+    total = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    return 1 + int(total) // (BLOCK // 4)
+
+
+def _unsettled(ties: DataFrame, labels: DataFrame) -> DataFrame:
+    """(low, node): ties of the buckets that hold nodes of several components, less pairs that were compared."""
+    n = labels.count()
+    known = ties.join(_small(labels, n), "node", "left").withColumn("mine", F.coalesce("component", "node")).drop("component")
+    known = known.join(_small(labels.select(F.col("node").alias("low"), "component"), n), "low", "left").withColumn("its", F.coalesce("component", "low"))
+    first = ties.groupBy("node").agg(F.min("low").alias("first"))
+    known = known.join(first, "node").withColumn("done", (F.col("c") == 2) & (F.col("low") == F.col("first")))
+    open_ = known.groupBy("key").agg(F.min(F.least("mine", "its")).alias("a"), F.max(F.greatest("mine", "its")).alias("b"), F.max("done").alias("done")).where("a != b and not done").select("key")
+    open_ = util.materialize(open_)
+    return ties.join(_small(open_, open_.count()), "key").select("low", "node")
+
+
+def _clusters(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Work rows (see ``_confirmed``) for the clusters that ``edges`` (low, node) connect."""
+    clusters = components(edges.select(F.col("low").alias("u"), F.col("node").alias("v"))).withColumnRenamed("component", "cluster")
+    members = nodes.select("node", "n").join(clusters, "node").join(_small(labels, labels.count()), "node", "left")
+    members = util.materialize(members.select("node", "n", "cluster", F.coalesce("component", "node").alias("label")))
+    parts = members.groupBy("cluster", "label").agg(F.sum("n").alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top"))
+    first = F.ceil(F.col("top.n") / BLOCK)
+    sizes = sizes.select("cluster", "total", F.col("top.label").alias("top"), F.when(F.col("total") <= BLOCK, 0).otherwise(first).cast("int").alias("own"), F.when(F.col("total") <= BLOCK, 1).otherwise(first + F.ceil((F.col("total") - F.col("top.n")) / BLOCK)).cast("int").alias("blocks"))
     sizes = util.materialize(sizes)
-    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    n_groups = 1 + int(small) // (BLOCK // 4)
-    members = members.join(_small(sizes, sizes.count()), "cluster").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", "cluster", "blocks")
+    rows = members.join(_small(sizes, sizes.count()), "cluster")
+    spread = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), n).cast("int")
+    rows = rows.withColumn("b", F.when(F.col("blocks") == 1, 0).when(F.col("label") == F.col("top"), spread(F.col("own"))).otherwise(F.col("own") + spread(F.col("blocks") - F.col("own"))))
+    # blocks of the dominant component meet the others only
+    rows = rows.withColumn("o", F.explode(F.when(F.col("b") < F.col("own"), F.sequence("own", F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    one = F.col("blocks") == 1
+    task = F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(_pooled(sizes)))).otherwise(F.col("cluster"))
+    side = F.when(F.col("b") == F.col("o"), 3).when(F.col("b") < F.col("o"), 1).otherwise(2)
+    return rows.select(task.alias("task"), F.when(one, -1).otherwise(F.least("b", "o")).alias("i"), F.greatest("b", "o").alias("j"), "cluster", "node", side.alias("side"), "label")
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, work: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """(u, v): spanning links that ``work`` finds.
+
+    ``work``: (task, i, j, cluster, node, side, label); the nodes of one task, i
+    and j are compared by cluster, those of side 1 or 3 with those of side 2 or
+    3. A node's text is that of its smallest row.
+    """
+    work = util.materialize(work.join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "node"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.join(_small(members, n_members), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    block = F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")
-    rows = rows.select("cluster", "blocks", "node", "text", block.alias("block"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(n_groups))).otherwise(F.col("cluster"))
-    rows = rows.select(
-        key.alias("task"), F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("block", "other")).alias("i"), F.greatest("block", "other").alias("j"), "cluster", "block", "node", "text"
-    )
+    rows = rows.join(_small(work, work.count()), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    names = ["task", "i", "j", "cluster", "node", "side", "label"]
+    rows = rows.select(*names, "text")
+    if repeated:  # rows with one id and one text, of which a task needs one
+        rows = rows.groupBy(*names).agg(F.first("text").alias("text"))
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         by: dict[int, dict[int, tuple]] = {}
-        for c, b, node, text in zip(table.column("cluster").to_pylist(), table.column("block").to_pylist(), table.column("node").to_pylist(), table.column("text")):
-            by.setdefault(c, {}).setdefault(node, (b, text))
+        for c, node, side, label, text in zip(*(table.column(n).to_pylist() for n in ("cluster", "node", "side", "label")), table.column("text")):
+            by.setdefault(c, {}).setdefault(node, (side, node if label is None else label, text))
         u, v = [], []
         for own in by.values():
-            names = sorted(own)
-            block = np.array([own[x][0] for x in names])
-            sets = [shingle_set(own[x][1].as_py(), k) for x in names]
-            one = i == -1 or i == j
-            left, right = (np.ones(len(names), bool),) * 2 if one else (block == i, block == j)
-            if left.any() and right.any():
-                for a, b in links(sets, left, right, percent):
-                    u.append(names[a]), v.append(names[b])
+            found = sorted(own)
+            side = np.array([own[x][0] for x in found])
+            _, group = np.unique([own[x][1] for x in found], return_inverse=True)
+            left, right = side != 2, side != 1
+            if len(found) > 1 and left.any() and right.any():
+                for a, b in links([shingle_set(own[x][2].as_py(), k) for x in found], left, right, percent, group):
+                    u.append(found[a]), v.append(found[b])
         util.tidy(_hashes)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.groupBy("task", "i", "j").applyInArrow(run, "u long, v long")
+    out = util.materialize(rows.groupBy("task", "i", "j").applyInArrow(run, "u long, v long"))
+    util.drop(work)
+    return out
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -254,11 +321,19 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id of the group; ``keeper`` marks the group's smallest (doc_id,
     text_hash), and rows with an empty set.
     """
-    rows = util.materialize(_signatures(docs.select("doc_id", "text"), k))
+    texts = docs.select("doc_id", "text")
+    rows = util.materialize(_signatures(texts, k))
+    repeated = not rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     nodes = util.materialize(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r")).select("node", "r.*"))
-    clusters = components(_ties(nodes))
-    confirmed = util.materialize(_confirmed(docs.select("doc_id", "text"), nodes, clusters, k, percent))
-    labels = util.materialize(components(confirmed))
+    ties = _ties(nodes)
+    near = _confirmed(texts, nodes, _stars(ties), k, percent, repeated)
+    labels = util.materialize(components(near))
+    edges = util.materialize(_unsettled(ties, labels))
+    if not edges.isEmpty():
+        more = _confirmed(texts, nodes, _clusters(nodes, edges, labels), k, percent, repeated)
+        labels = util.materialize(components(near.union(more)))
+        util.drop(more)
+    util.drop(ties, edges, near, nodes)
     rows = rows.select("doc_id", "text_hash", "n", "node").join(_small(labels, labels.count()), "node", "left").withColumn("component", F.coalesce("component", "node"))
     many = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count("*").alias("c"))
     many = util.materialize(many.where("c > 1").select("component", "low", F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"), F.lit(True).alias("many")))
@@ -268,15 +343,20 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group."""
+    """``docs`` with one row of each group; of rows with one doc_id and text any one."""
     found = util.materialize(groups(docs, k, percent))
-    out = found.where("not keeper").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    id_, hash_, mark = _fresh(docs, "_id"), _fresh(docs, "_hash"), _fresh(docs, "_mark")
+    named = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
+    on = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_))
+    out = found.where("not keeper").select(*named).distinct()
     kept = docs.join(_small(out, out.count()), on, "left_anti")
-    keepers = found.where("keeper and n_shingles > 0").select("doc_id", "text_hash")
-    if keepers.count() > keepers.distinct().count():  # rows that are repeated whole
-        names = docs.columns
-        kept = kept.withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "_hash"]).select(*names)
+    # of keepers that are repeated whole one stays
+    many = found.where("keeper and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select(*named, F.lit(True).alias(mark))
+    many = util.materialize(many)
+    if not many.isEmpty():
+        kept = kept.join(_small(many, many.count()), on, "left")
+        one = kept.where(F.col(mark)).dropDuplicates([id_, hash_])
+        kept = kept.where(F.col(mark).isNull()).unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept
 
 
