@@ -9,14 +9,20 @@ nearly fills its class, and otherwise cut at the largest reciprocal capacity
 that fits. Bins that are still open when a partition ends are laid end to end
 and cut anew, the last of them at powers of two, which need no padding.
 
+Text that spells an added token of the vocabulary (its end-of-text mark) is
+ordinary text, or, with ``added_tokens``, that token, as tokenizers reads it by
+default.
+
 Defined cases: a null or empty text is one piece with the end id alone;
 repeated rows are packed once per row; a null doc_id stays null; an empty table
-gives no rows; other columns are ignored. Sequence ids are unique per run:
+gives no rows; very long texts are encoded whole, one at a time; ties of length
+go by order of arrival; other columns are ignored. Sequence ids are unique per run:
 the partition's number in the upper bits, a count in the lower 40.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,8 +54,9 @@ class Encoder:
     through the encoder whole.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added_tokens: bool = False):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -59,6 +66,11 @@ class Encoder:
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.n_bytes[list(ranks.values())] = [len(x) for x in ranks]
+        self.added: dict[str, int] = {}
+        if added_tokens:
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+                self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.encode(text), dtype="<u4")
@@ -84,7 +96,18 @@ class Encoder:
         return np.concatenate(parts), starts, counts
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text; those that spell an added token are cut there, and each stretch is encoded on its own."""
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not marked:
+            return self._plain(texts)
+        out = self._plain(["" if i in set(marked) else t for i, t in enumerate(texts)])
+        for i in marked:
+            cut = self._marks.split(texts[i])
+            stretches = iter(self._plain(cut[::2]))
+            out[i] = np.concatenate([np.array([self.added[c]], "<u4") if j % 2 else next(stretches) for j, c in enumerate(cut)])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
         at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -127,14 +150,14 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str | None = None, added_tokens: bool = False) -> Encoder:
+    """One encoder of a kind per worker process."""
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]
 
 
 class Packer:
@@ -187,11 +210,11 @@ class Packer:
             self._close(pieces)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text), each with its place in a sequence of at most ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, added_tokens)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4")
 
