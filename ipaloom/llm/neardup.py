@@ -178,14 +178,6 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return [(i, union.find(i)) for i in range(len(sets)) if union.find(i) != i]
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """``name`` with underscores before it until no column of ``docs`` is called so."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_hash, node, n, bands) of every row; node and bands are null for empty sets."""
     util.ship(docs.sparkSession)
@@ -345,7 +337,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group; of rows with one doc_id and text any one."""
     found = util.materialize(groups(docs, k, percent))
-    id_, hash_, mark = _fresh(docs, "_id"), _fresh(docs, "_hash"), _fresh(docs, "_mark")
+    id_, hash_, mark = util.fresh(docs, "_id"), util.fresh(docs, "_hash"), util.fresh(docs, "_mark")
     named = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
     on = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_))
     out = found.where("not keeper").select(*named).distinct()

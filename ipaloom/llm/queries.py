@@ -28,7 +28,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+    return decontam.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash", "estimate")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ reported. Candidates are
 * ``rest``: what base matches leave uncovered of such a run or next to an access
   or hex match, with 8 letters or digits or more;
 * ``short``: words of 8 to 19 characters with a digit, a lower-case and an
-  upper-case letter.
+  upper-case letter, at most LEFT characters behind a word such as login.
 
 A convolutional network over the characters of the whole candidate, however
 long, and of the text around it, trained in numpy on labelled findings, judges
@@ -66,6 +66,7 @@ _REST, _SHORT = 8, (8, 19)
 _KEYS = re.compile(r"[A-Za-z0-9+/_=-]*")
 _DIGIT = re.compile(r"[0-9][!-~]*")
 _WORD_LEFT = re.compile(r"[!-~]*\Z")
+_LOGIN = re.compile("login|pass|pwd|pin|credential|auth|secret|key|token|user|account|contrase", re.I)
 _OUTER = "\"'`()[]{}<>,;:.="
 SHAPES = ("run", "rest", "short")
 FAMILIES = ("ghp", "sk", "sk_live", "xoxb", "eyJ", "letters", "padded", "capitals", "AIza")
@@ -171,15 +172,8 @@ def labelled_findings(n: int, seed: int = 17, long: bool = False, shape: str = "
     for i in range(n):
         label = i % 2
         if shape == "short":
-            body = password() if label else pick([name, name, password])()
-            lead = pick(login) if label else pick([*login, *(word() for _ in range(30))])
-            if not label and lead in login:
-                body = name()
-            if not label and lead not in login and rng.integers(2):
-                body = name()
-            left, after = f"{words(2)} {lead}" + pick([": ", " = ", " ", " \""]), pick([" ", "\n", "\" ", ", "])
-            if not label and not rng.integers(4):
-                left = ""
+            body = password() if label else name()
+            left, after = f"{words(2)} {pick(login)}" + pick([": ", " = ", " ", " \""]), pick([" ", "\n", "\" ", ", "])
         elif shape == "rest":
             before, body = tail(label)
             left, after = pick(around)[0]() + before, pick([" ", "\n", "\" "])
@@ -282,7 +276,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         body = text[s : m.end()]
         e = m.end() - (len(body) - len(body.rstrip(_OUTER)))
         s += len(body) - len(body.lstrip(_OUTER))
-        if _SHORT[0] <= e - s <= _SHORT[1] and any(c.islower() for c in text[s:e]) and any(c.isupper() for c in text[s:e]):
+        if _SHORT[0] <= e - s <= _SHORT[1] and any(c.islower() for c in text[s:e]) and any(c.isupper() for c in text[s:e]) and _LOGIN.search(text[max(0, s - LEFT) : s]):
             before = bisect.bisect_left(starts, e)
             if not before or furthest[before - 1] <= s:
                 out.append((s, e, "short"))

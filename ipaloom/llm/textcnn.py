@@ -15,14 +15,15 @@ import numpy as np
 PAD = 0
 
 
-def flatten(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids with ``pad`` padding ids after each text, and each text's start."""
-    lengths = np.array([len(t) + pad for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    flat = np.zeros((int(lengths.sum()), *(texts[0].shape[1:] if len(texts) else ())), dtype=np.int64)
+def flatten(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat ids with ``pad`` padding ids after each text, each text's start, and which places begin a window of their text (an empty text has one)."""
+    n = np.array([max(1, len(t)) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(n + pad)[:-1]]).astype(np.int64)
+    flat = np.zeros((int((n + pad).sum()), *(texts[0].shape[1:] if len(texts) else ())), dtype=np.int64)
     for s, t in zip(starts, texts):
         flat[s : s + len(t)] = t
-    return flat, starts
+    inside = np.arange(len(flat)) - np.repeat(starts, n + pad) < np.repeat(n, n + pad)
+    return flat, starts, inside
 
 
 class TextCNN:
@@ -67,9 +68,9 @@ class TextCNN:
         def flush():
             if not group:
                 return
-            flat, starts = flatten([texts[r][at : at + step + pad] for r, at in group], pad)
+            flat, starts, inside = flatten([texts[r][at : at + step + pad] for r, at in group], pad)
             flat = np.concatenate([flat, np.zeros(pad, np.int64)])
-            z = np.concatenate([np.maximum.reduceat(self._conv(flat, i), starts, axis=0) for i in range(len(self.widths))], axis=1)
+            z = np.concatenate([np.maximum.reduceat(np.where(inside[:, None], self._conv(flat, i), -np.inf), starts, axis=0) for i in range(len(self.widths))], axis=1)
             np.maximum.at(out, np.array([r for r, _ in group]), z)
             group.clear()
 
@@ -106,7 +107,7 @@ class TextCNN:
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                flat, starts = flatten([texts[r] for r in rows], pad)
+                flat, starts, inside = flatten([texts[r] for r in rows], pad)
                 flat = np.concatenate([flat, np.zeros((pad, *flat.shape[1:]), np.int64)])
                 if drop:
                     flat = np.where(rng.random(flat.shape) >= drop, flat, PAD)
@@ -117,6 +118,7 @@ class TextCNN:
                 zs, args = [], []
                 for i, k in enumerate(self.widths):
                     z = sum(x[o : n + o] @ self.w[i][o] for o in range(k)) + self.b[i]
+                    z[~inside] = -np.inf
                     top = np.maximum.reduceat(z, starts, axis=0)
                     pos, f = np.nonzero(z == top[doc])
                     arg = np.zeros((len(rows), self.filters), np.int64)

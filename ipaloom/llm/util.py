@@ -103,6 +103,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold_of(n: int) -> Column:
     """crc32 of the decimal text of doc_id, mod n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
