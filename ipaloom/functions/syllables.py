@@ -79,10 +79,16 @@ def syllabify(tokens: Column, vowels: Iterable[str], marks: Column | None = None
     """Array of syllables (onset, nucleus, coda, stress). ``strategy``: another segmenter (tokens, vowels, ranks)."""
     vowels = frozenset(vowels)
     extra = dict(extra or {})
+    known: dict[str, int] = {}
+
+    def rank_of(t):
+        if t not in known:
+            known[t] = sonority(t, extra)
+        return known[t]
 
     def one(ts, ms):
         ts = list(ts) if ts is not None else []
-        rank = [sonority(t, extra) for t in ts]
+        rank = list(map(rank_of, ts))
         found = strategy(ts, vowels, rank) if strategy else max_onset(ts, vowels, rank, appendix)
         stress = assign_stress(found, [(m["idx"], m["kind"]) for m in ms] if ms is not None else [])
         return [{"onset": o, "nucleus": n, "coda": c, "stress": s} for (o, n, c), s in zip(found, stress)]

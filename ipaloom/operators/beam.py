@@ -136,14 +136,15 @@ def segment_phrases(phrases: Iterable[Phrase], entries: DataFrame, features: Map
     """
     phrases = [p for p in phrases if p.tokens]
     ship(entries.sparkSession)
-    shared = entries.sparkSession.sparkContext.broadcast((phrases, dict(features)))
+    shared = entries.sparkSession.sparkContext.broadcast((phrases, dict(features), distance_matrix(features, sorted({t for p in phrases for t in p.tokens}))))
     loose = replace(config, beam_width=1)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, features = shared.value
+        phrases, features, (index, matrix) = shared.value
         for batch in batches:
             tokens = batch.column(3).to_pylist()
-            index, matrix = distance_matrix(features, sorted({t for ts in tokens for t in ts} | {t for p in phrases for t in p.tokens}))
+            if unknown := {t for ts in tokens for t in ts} - index.keys():  # phonemes without features
+                index, matrix = distance_matrix(features, [p for p in index if p not in features] + sorted(unknown))
             targets, lengths = pad([[index[t] for t in ts] for ts in tokens])
             for p in phrases:
                 source = np.array([index[t] for t in p.tokens])
@@ -154,7 +155,7 @@ def segment_phrases(phrases: Iterable[Phrase], entries: DataFrame, features: Map
     fits = entries.select("lang", "word", "ipa", "tokens").mapInArrow(fit, "phrase string, lang string, word string, ipa string, tokens array<string>")
 
     def run(table: pa.Table) -> pa.Table:
-        phrases, features = shared.value
+        phrases, features, _ = shared.value
         key, lang = table.column("phrase")[0].as_py(), table.column("lang")[0].as_py()
         source = next(p for p in phrases if p.key == key)
         own = sorted(zip(table.column("word").to_pylist(), table.column("ipa").to_pylist(), table.column("tokens").to_pylist()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,13 @@ def recall(found: DataFrame, threshold: float = 0.35) -> DataFrame:
 
 
 def recovered(segmentations: DataFrame, expected: DataFrame, top: int = 20) -> DataFrame:
-    """(phrase, found): whether any of the ``top`` segmentations shares min(2, expected) words with the expected ones."""
+    """(phrase, found): whether any of the ``top`` nearest segmentations shares min(2, expected) words with the expected ones.
+
+    ``segmentations``: (phrase, words) in any order, or with distance, by which the nearest are found.
+    """
+    if "distance" in segmentations.columns:
+        order = Window.partitionBy("phrase").orderBy("distance", F.array_join("words", " "))
+        segmentations = segmentations.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top).drop("_rank")
     rows = segmentations.join(expected, "phrase")
     need = F.least(F.lit(2), F.size("expected"))
     return rows.groupBy("phrase").agg(F.max((F.size(F.array_intersect("words", "expected")) >= need)).alias("found"))

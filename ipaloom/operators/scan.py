@@ -76,14 +76,16 @@ def scan(phrases: Iterable[Phrase], entries: DataFrame, features: Mapping[str, M
 
 def _scan(phrases: list[Phrase], entries: DataFrame, features: Mapping, top_n: int, max_distance: float, overlap: float) -> DataFrame:
     ship(entries.sparkSession)
-    shared = entries.sparkSession.sparkContext.broadcast((phrases, dict(features)))
+    base = sorted({t for p in phrases for t in p.tokens})
+    shared = entries.sparkSession.sparkContext.broadcast((phrases, dict(features), distance_matrix(features, base)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, features = shared.value
+        phrases, features, (index, matrix) = shared.value
         for batch in batches:
             tokens = batch.column(3).to_pylist()
             langs = batch.column(0).to_pylist()
-            index, matrix = distance_matrix(features, sorted({t for ts in tokens for t in ts} | {t for p in phrases for t in p.tokens}))
+            if unknown := {t for ts in tokens for t in ts} - index.keys():  # phonemes without features
+                index, matrix = distance_matrix(features, [p for p in index if p not in features] + sorted(unknown))
             rows, keys, ds = [], [], []
             words = batch.column(1).to_pylist()
             for p, at, d in scan_batch(phrases, tokens, index, matrix, max_distance, overlap):

@@ -34,9 +34,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.prepared(spark, f"{sf_dir}/documents.parquet", SPECS)
+
+
 def _entries(spark: SparkSession, sf_dir: str, langs=tuple(LANGUAGES), min_length: int = 3, min_tokens: int = 2) -> DataFrame:
-    raw = dictionary.transcribe(dictionary.words_of(_read(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)), min_length))
-    return dictionary.pretokenize(raw, {k: SPECS[k] for k in langs}, min_tokens)
+    rows = _prepared(spark, sf_dir).where(F.col("lang").isin(*langs) & (F.col("n_tok") >= min_tokens) & (F.char_length("word") >= min_length))
+    return rows.select("lang", "word", "ipa", "tokens", "n_tok", "frequency")
 
 
 def _phrase_rows(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
@@ -63,17 +67,17 @@ def multi_language_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.words_of(_read(spark, sf_dir, "documents"))
+    return _prepared(spark, sf_dir).where("char_length(word) >= 3").select("lang", "word")
 
 
 def g2p_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.transcribe(words(spark, sf_dir))
+    return _prepared(spark, sf_dir).where("char_length(word) >= 3 and prons != ''").select("lang", "word", "prons")
 
 
 def g2p_dictionary_or_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark by the French dictionary, by rule where it lacks them."""
+    """Words of the benchmark by a French dictionary whose entries differ from the rules (marked as stressed), by rule where it lacks them."""
     items = _read(spark, sf_dir, "benchmark").select(F.lit("fr").alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(dictionary.LETTERS), F.lit(0))).alias("word")).distinct()
-    raw = dictionary.transcribe(dictionary.words_of(_read(spark, sf_dir, "documents").where("lang = 'fr'")))
+    raw = g2p_rules(spark, sf_dir).where("lang = 'fr'").withColumn("prons", F.concat(F.lit("ˈ"), "prons"))
     return g2p.phones_for(items, raw).where("prons != ''")
 
 
@@ -81,19 +85,30 @@ def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("lang", "word", "ipa", F.array_join("tokens", " ").alias("tokens"), F.col("n_tok").cast("long").alias("n_tok"))
 
 
+#: Precomposed letters and their decompositions, and the marks that cleaning knows: they stand where a word's length says.
+_COMPOSED, _DECOMPOSED, _MARKS = ("é", "ã", "ü", "ﬁ"), ("e\u0301", "a\u0303", "u\u0308", "fi"), ("ˈ", "ˌ", "ː", "ˑ", "‿")
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, word, raw): transcriptions with a mark or two adjacent ones at a place, and a letter at the end, that vary with the word."""
+    n, size = F.char_length("word"), F.char_length("prons")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    at = (n * 7 + F.ascii("word")) % (size + 1)
+    raw = F.concat(F.substr("prons", F.lit(1), at), pick(_MARKS, n + F.ascii("word")), F.when(n % 3 == 0, pick(_MARKS, n)).otherwise(F.lit("")), F.substr("prons", at + 1), pick(_COMPOSED, n + size))
+    return g2p_rules(spark, sf_dir).select("lang", "word", raw.alias("raw"))
+
+
 def clean_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = g2p_rules(spark, sf_dir).select("lang", "word", F.concat(F.lit("ˈ"), "prons", F.lit("ː‿")).alias("raw"))
-    return rows.select(
+    return _marked(spark, sf_dir).select(
         "lang", "word", text.clean_phones(F.col("raw")).alias("clean"), text.clean_phones(F.col("raw"), preserve_stress=True).alias("with_stress"),
         text.clean_phones(F.col("raw"), config=text.PRESERVE_LENGTH).alias("with_length"),
     )
 
 
 def stress_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks put before the first and the fourth character, found again."""
-    rows = g2p_rules(spark, sf_dir).where("char_length(prons) >= 4").select("lang", "word", F.concat(F.lit("ˈ"), F.substring("prons", 1, 3), F.lit("ˌ"), F.substring("prons", 4, 100)).alias("raw"))
+    """Stress marks at places that vary, found again."""
     found = text.stress_marks(F.col("raw"))
-    return rows.select("lang", "word", F.array_join(F.transform(found, lambda m: F.concat_ws(":", m["idx"], m["kind"])), ",").alias("marks"))
+    return _marked(spark, sf_dir).select("lang", "word", F.array_join(F.transform(found, lambda m: F.concat_ws(":", m["idx"], m["kind"])), ",").alias("marks"))
 
 
 def phoneme_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,19 +185,17 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([[{k: s.get(k) for k in ("onset", "nucleus", "coda")} for s in encoders[a].syllables(list(t))] for a, t in zip(lang, tokens)])
 
-    docs = _read(spark, sf_dir, "documents")
-    counts = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(dictionary.LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("frequency"))
-    rows = _entries(spark, sf_dir, min_length=1, min_tokens=1).select("lang", "word", encode("lang", "tokens").alias("syllables"))
-    return rows.join(counts, ["lang", "word"])
+    return _entries(spark, sf_dir, min_length=1, min_tokens=1).select("lang", "word", encode("lang", "tokens").alias("syllables"), "frequency")
 
 
 def entropy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = SPECS["en"]
-    return entropy.metrics(_encoded(spark, sf_dir), len(spec.consonant_columns), len(spec.vowel_columns))
+    rows = entropy.metrics(_encoded(spark, sf_dir), len(spec.consonant_columns), len(spec.vowel_columns))
+    return rows.select("lang", "component", "n_patterns", "total", "provision", *[F.round(c, 6).alias(c) for c in ("entropy", "redundancy")], F.round("utilisation", 12).alias("utilisation"))
 
 
 def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.top_patterns(entropy.pattern_counts(_encoded(spark, sf_dir)), 20)
+    return entropy.top_patterns(entropy.pattern_counts(_encoded(spark, sf_dir)), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,14 +245,14 @@ def _spelled(word: str, lang: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({word}, {_q(text.alternation(rules))}), lambda g: ({_map(rules)})[g]), '')"
 
 
-def _words_sql(langs=tuple(LANGUAGES)) -> str:
+def _words_sql(langs=tuple(LANGUAGES), min_length: int = 3, min_tokens: int = 2) -> str:
     return f"""words AS (
-  SELECT DISTINCT lang, word FROM (SELECT lang, unnest(regexp_extract_all(lower(text), {_q(dictionary.LETTERS)})) AS word FROM documents WHERE lang IN ({', '.join(map(_q, langs))})) WHERE length(word) >= 3
+  SELECT lang, word, count(*) AS frequency FROM (SELECT lang, unnest(regexp_extract_all(lower(text), {_q(dictionary.LETTERS)})) AS word FROM documents WHERE lang IN ({', '.join(map(_q, langs))})) WHERE length(word) >= {min_length} GROUP BY lang, word
 ), raw AS (
-  SELECT * FROM (SELECT lang, word, CASE lang {' '.join(f'WHEN {_q(k)} THEN {_spelled("word", k)}' for k in langs)} END AS prons FROM words) WHERE prons <> ''
+  SELECT * FROM (SELECT lang, word, frequency, CASE lang {' '.join(f'WHEN {_q(k)} THEN {_spelled("word", k)}' for k in langs)} END AS prons FROM words) WHERE prons <> ''
 ), entries AS MATERIALIZED (
-  SELECT lang, word, ipa, tokens, len(tokens) AS n_tok FROM (
-    SELECT lang, word, prons AS ipa, CASE lang {' '.join(f'WHEN {_q(k)} THEN regexp_extract_all(prons, {_q(text.alternation(SPECS[k].phones))})' for k in langs)} END AS tokens FROM raw) WHERE len(tokens) >= 2
+  SELECT lang, word, ipa, tokens, len(tokens) AS n_tok, frequency FROM (
+    SELECT lang, word, frequency, prons AS ipa, CASE lang {' '.join(f'WHEN {_q(k)} THEN regexp_extract_all(prons, {_q(text.alternation(SPECS[k].phones))})' for k in langs)} END AS tokens FROM raw) WHERE len(tokens) >= {min_tokens}
 )"""
 
 
@@ -280,6 +293,90 @@ pairs AS MATERIALIZED (
 """
 
 
+#: Runs of vowels number the syllables; of the consonants between two, those behind the last place without a rise in rank begin the second.
+_SYLLABLES = """, t AS (
+  SELECT lang, word, pos, tok, ({ranks})[tok] AS rank, tok IN ({vowels}) AS v FROM (SELECT lang, word, unnest(tokens) AS tok, unnest(range(1, len(tokens) + 1)) AS pos FROM entries)
+), s AS (
+  SELECT *, v AND NOT coalesce(lag(v) OVER w, false) AS opens FROM t WINDOW w AS (PARTITION BY lang, word ORDER BY pos)
+), k AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY lang, word ORDER BY pos) AS k FROM s
+), r AS (
+  SELECT lang, word, k, list(tok ORDER BY pos) FILTER (v) AS nucleus, coalesce(list(tok ORDER BY pos) FILTER (NOT v), []) AS cluster, coalesce(list(rank ORDER BY pos) FILTER (NOT v), []) AS ranks FROM k GROUP BY lang, word, k
+), c AS (
+  SELECT *, max(k) OVER (PARTITION BY lang, word) AS last, CASE WHEN len(ranks) <= 1 THEN 1 ELSE coalesce(list_max(list_filter(range(2, len(ranks) + 1), lambda i: ranks[i-1] >= ranks[i])), 1) END AS cut FROM r
+), d AS (
+  SELECT *, CASE WHEN len(ranks) > 1 AND cut > 1 AND ranks[cut-1] = 2 AND ranks[cut] = 1 THEN cut - 1 ELSE cut END AS cut_at FROM c
+), p AS (
+  SELECT lang, word, k, last, nucleus, CASE WHEN k = last THEN cluster ELSE list_slice(cluster, 1, cut_at - 1) END AS coda, CASE WHEN k = last THEN [] ELSE list_slice(cluster, cut_at, len(cluster)) END AS next_onset FROM d
+), q AS (
+  SELECT *, coalesce(lag(CASE WHEN k = 0 THEN list_concat(coda, next_onset) ELSE next_onset END) OVER (PARTITION BY lang, word ORDER BY k), []) AS onset FROM p
+)
+SELECT lang, word, count(*)::INT AS n, '1' || repeat('0', count(*)::INT - 1) AS pattern,
+       string_agg(CASE WHEN last = 0 THEN array_to_string(coda, '') || '..' ELSE array_to_string(onset, '') || '.' || array_to_string(nucleus, '') || '.' || array_to_string(coda, '') END, '|' ORDER BY k) AS syllables
+FROM q WHERE k > 0 OR last = 0 GROUP BY lang, word"""
+
+#: Syllables as bits: consonants before a run of vowels or'ed, the vowels or'ed, and the last consonants.
+_ENCODED = """WITH {words}, f(lang, tok, v, cons, vow) AS (VALUES {bits}), t AS (
+  SELECT e.lang, word, frequency, pos, e.tok, coalesce(f.v, 0) = 1 AS v, coalesce(cons, 0) AS cons, coalesce(vow, 0) AS vow FROM (SELECT lang, word, frequency, unnest(tokens) AS tok, unnest(range(1, len(tokens) + 1)) AS pos FROM entries) e LEFT JOIN f ON f.lang = e.lang AND f.tok = e.tok
+), s AS (
+  SELECT *, v AND NOT coalesce(lag(v) OVER (PARTITION BY lang, word ORDER BY pos), false) AS opens FROM t
+), k AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY lang, word ORDER BY pos) + CASE WHEN v THEN 0 ELSE 1 END AS k, sum(opens::INT) OVER (PARTITION BY lang, word) AS runs FROM s
+), g AS (
+  SELECT lang, word, any_value(frequency) AS frequency, any_value(runs) AS runs, k, coalesce(bit_or(cons) FILTER (NOT v), 0) AS cons, coalesce(bit_or(vow) FILTER (v), 0) AS vow FROM k GROUP BY lang, word, k
+), y AS (
+  SELECT a.*, coalesce(b.cons, 0) AS coda FROM g a LEFT JOIN g b ON a.lang = b.lang AND a.word = b.word AND a.k = a.runs AND b.k = a.runs + 1 WHERE a.k <= a.runs
+), x AS (
+  SELECT lang, word, frequency, k, CASE WHEN cons > 0 THEN lpad(bin(cons), {c}, '0') END AS onset, lpad(bin(vow), {v}, '0') AS nucleus, CASE WHEN coda > 0 THEN lpad(bin(coda), {c}, '0') END AS coda FROM y
+), joint AS (
+  SELECT e.lang, e.word, e.frequency, coalesce(j.pattern, '[]') AS pattern FROM entries e LEFT JOIN (
+    SELECT lang, word, '[' || string_agg('{{' || array_to_string(list_filter(['"onset":"' || onset || '"', '"nucleus":"' || nucleus || '"', '"coda":"' || coda || '"'], lambda z: z IS NOT NULL), ',') || '}}', ',' ORDER BY k) || ']' AS pattern FROM x GROUP BY lang, word) j ON e.lang = j.lang AND e.word = j.word
+), counts AS MATERIALIZED (
+  SELECT lang, component, pattern, sum(frequency)::BIGINT AS n FROM (
+    SELECT lang, 'onset' AS component, onset AS pattern, frequency FROM x UNION ALL SELECT lang, 'nucleus', nucleus, frequency FROM x UNION ALL SELECT lang, 'coda', coda, frequency FROM x UNION ALL SELECT lang, 'joint', pattern, frequency FROM joint)
+  WHERE pattern IS NOT NULL GROUP BY lang, component, pattern
+)"""
+
+_METRICS = """, h AS (
+  SELECT lang, component, -sum(n / total * log2(n / total)) AS entropy, count(*) AS n_patterns, any_value(total)::BIGINT AS total FROM (SELECT *, sum(n) OVER (PARTITION BY lang, component) AS total FROM counts) GROUP BY lang, component
+), u AS (
+  SELECT *, n_patterns / pow(2, CASE component WHEN 'nucleus' THEN {v} WHEN 'joint' THEN NULL ELSE {c} END) AS utilisation FROM h
+)
+SELECT lang, component, n_patterns, total, CASE WHEN utilisation < 0.25 THEN 'over' WHEN utilisation > 0.75 THEN 'under' WHEN utilisation IS NOT NULL THEN 'right' END AS provision, round(entropy, 6) AS entropy,
+       round(sum(CASE WHEN component <> 'joint' THEN entropy END) OVER (PARTITION BY lang) - max(CASE WHEN component = 'joint' THEN entropy END) OVER (PARTITION BY lang), 6) AS redundancy, round(utilisation, 12) AS utilisation FROM u"""
+
+
+def _coarticulated_sql() -> str:
+    """Each phoneme with its neighbours is shifted by the rules in turn; the distances of all such contexts make the matrix."""
+    at = lambda v, n: f"{v}[{coarticulation.AT[n] + 1}]"
+    holds = {
+        "vowel": "{syl} = 1", "consonant": "{syl} <> 1", "high vowel": "{syl} = 1 AND {hi} = 1", "round vowel": "{syl} = 1 AND {round} = 1", "back vowel": "{syl} = 1 AND {back} = 1", "nasal": "{syl} <> 1 AND {nas} = 1",
+        "velar": "{syl} <> 1 AND {hi} = 1 AND {back} = 1", "labial": "{syl} <> 1 AND {lab} = 1", "stop": "{son} = -1 AND {cont} = -1",
+    }
+    is_ = lambda kind, v: "(" + holds[kind].format(**{n: at(v, n) for n in coarticulation.AT}) + ")"
+    shifted = {n: f"{at('x', n)}::DOUBLE" for n in coarticulation.AT}
+    for r in coarticulation.RULES:
+        if not r.spread:
+            other = "nx" if r.who == 1 else "pv"
+            by = f"{r.direction or at(other, r.feature)} * {r.magnitude}::DOUBLE"
+            shifted[r.feature] = f"CASE WHEN {is_(r.me, 'x')} AND {other} IS NOT NULL AND {is_(r.other, other)} THEN least(1::DOUBLE, greatest(-1::DOUBLE, {shifted[r.feature]} + {by})) ELSE {shifted[r.feature]} END"
+    vectors = "MAP {" + ", ".join(f"{_q(p)}: {list(universal(p))}" for p in sorted(SPECS["en"].features)) + "}"
+    return f"""WITH {_phrases_sql()}, t AS (
+  SELECT phrase, pos, tok, lag(tok) OVER w AS p, lead(tok) OVER w AS n FROM (SELECT phrase, unnest(tokens) AS tok, unnest(range(1, len(tokens) + 1)) AS pos FROM phrases) WINDOW w AS (PARTITION BY phrase ORDER BY pos)
+), ctx AS MATERIALIZED (
+  SELECT p, tok, n, row_number() OVER (ORDER BY p, tok, n) AS id FROM (SELECT DISTINCT p, tok, n FROM t)
+), raw AS MATERIALIZED (SELECT id, ({vectors})[tok] AS x, ({vectors})[p] AS pv, ({vectors})[n] AS nx FROM ctx
+), vec AS MATERIALIZED (SELECT id, [{', '.join(shifted[n] for n in coarticulation.AT)}] AS x FROM raw
+), cost AS (
+  SELECT a.id AS i, b.id AS j, list_filter(range(1, 25), lambda f: abs(a.x[f]) >= 0.01::DOUBLE OR abs(b.x[f]) >= 0.01::DOUBLE) AS live, a.x AS p, b.x AS q FROM vec a, vec b
+), cells AS (
+  SELECT i, j, CASE WHEN len(live) = 0 THEN 0::DOUBLE ELSE list_sum(list_transform(live, lambda f: abs(p[f] - q[f]) * 0.5::DOUBLE)) / len(live) END AS d FROM cost
+), matrix AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(d ORDER BY j) AS r FROM cells GROUP BY i)
+), p AS MATERIALIZED (SELECT phrase, list(id ORDER BY pos) AS b, list(id::DOUBLE ORDER BY pos) AS a FROM t JOIN ctx ON t.p IS NOT DISTINCT FROM ctx.p AND t.tok = ctx.tok AND t.n IS NOT DISTINCT FROM ctx.n GROUP BY phrase
+), c AS MATERIALIZED (SELECT x.phrase AS pa, y.phrase AS pb, x.a AS a, y.b AS b FROM p x, p y)
+SELECT pa AS a, pb AS b, round({_EDIT} / greatest(len(c.a), len(c.b)), 6) AS value FROM c, matrix""".replace("list_reduce(a,", "list_reduce(c.a,").replace("len(b)", "len(c.b)").replace("b[len(row)]", "c.b[len(row)]").replace("c.c.b", "c.b")
+
+
 def oracles() -> dict[str, str]:
     tag = lambda v: f"b:{str(v).lower()}" if isinstance(v, bool) else f"s:{v}"
     long = ", ".join(f"({_q(k)}, {_q(p)}, {_q(n)}, {_q(tag(v))})" for k, s in SPECS.items() for p, f in s.features.items() for n, v in f.items())
@@ -291,16 +388,26 @@ def oracles() -> dict[str, str]:
 ), d AS (SELECT la, a, lb, b, sum((x IS DISTINCT FROM y)::INT) / count(*) AS distance FROM cells GROUP BY ALL)"""
     vec = ", ".join(f"({_q(r)}, {list(universal(r))})" for r in [*CONSONANTS, *VOWELS, *NASAL_VOWELS])
     with_words = f"WITH {_words_sql()} "
+    choose = lambda xs, i: f"(['{chr(39) + chr(44) + chr(39)}'])".replace("','", "', '".join(xs)) + f"[({i}) % {len(xs)} + 1]"
+    size, first = "length(prons)", "unicode(word)"
+    marked = f""", m AS (SELECT lang, word, left(prons, cut_at) || {choose(_MARKS, f'length(word) + {first}')} || CASE WHEN length(word) % 3 = 0 THEN {choose(_MARKS, 'length(word)')} ELSE '' END || substr(prons, cut_at + 1) || {choose(_DECOMPOSED, f'length(word) + {size}')} AS d
+  FROM (SELECT *, (length(word) * 7 + {first}) % ({size} + 1) AS cut_at FROM raw))"""
+    bits = [(k, p, int(p in s.vowels), int(feat.bits_of(f, s.consonant_columns), 2), int(feat.bits_of(f, s.vowel_columns), 2)) for k, s in SPECS.items() for p, f in s.features.items()]
+    encoded = _ENCODED.format(words=_words_sql(min_length=1, min_tokens=1), bits=", ".join(f"({_q(k)}, {_q(p)}, {v}, {c}, {n})" for k, p, v, c, n in bits), c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns))
     return {
         "reverse_lookup": _scan_sql(("fr",), TOP) + "SELECT * FROM best",
         "multi_language_scan": _scan_sql(TARGETS, 1) + "SELECT * FROM best",
         "recovered_words": _scan_sql(TARGETS, 1) + "SELECT count(*) AS n, count(*) FILTER (distance <= 0.3::DOUBLE) AS hits, count(*) FILTER (distance IS NULL) AS missing, round(count(*) FILTER (distance <= 0.3::DOUBLE) / count(*), 6) AS recall FROM (SELECT phrase, min(distance) AS distance FROM phrases LEFT JOIN best USING (phrase) GROUP BY phrase)",
         "words": with_words + "SELECT lang, word FROM words",
         "g2p_rules": with_words + "SELECT lang, word, prons FROM raw",
-        "g2p_dictionary_or_rules": f"SELECT * FROM (SELECT 'fr' AS lang, word, {_spelled('word', 'fr')} AS prons FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {_q(dictionary.LETTERS)})) AS word FROM benchmark)) WHERE prons <> ''",
+        "g2p_dictionary_or_rules": with_words + f"SELECT 'fr' AS lang, word, CASE WHEN word IN (SELECT word FROM raw WHERE lang = 'fr') THEN 'ˈ' ELSE '' END || prons AS prons FROM (SELECT word, {_spelled('word', 'fr')} AS prons FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {_q(dictionary.LETTERS)})) AS word FROM benchmark)) WHERE prons <> ''",
         "pretokenize": with_words + "SELECT lang, word, ipa, array_to_string(tokens, ' ') AS tokens, n_tok FROM entries",
-        "clean_phones": with_words + "SELECT lang, word, prons AS clean, 'ˈ' || prons AS with_stress, prons || 'ː' AS with_length FROM raw",
-        "stress_marks": with_words + "SELECT lang, word, '0:primary,3:secondary' AS marks FROM raw WHERE length(prons) >= 4",
+        "clean_phones": f"{with_words}{marked} SELECT lang, word, translate(d, 'ˈˌːˑ‿', '') AS clean, translate(d, 'ːˑ‿', '') AS with_stress, translate(d, 'ˈˌ‿', '') AS with_length FROM m",
+        "stress_marks": f"{with_words}{marked} SELECT lang, word, coalesce(array_to_string(list_transform(list_filter(range(1, length(d) + 1), lambda i: substr(d, i, 1) IN ('ˈ', 'ˌ')), lambda i: length(translate(substr(d, 1, i - 1), 'ˈˌ', '')) || CASE substr(d, i, 1) WHEN 'ˈ' THEN ':primary' ELSE ':secondary' END), ','), '') AS marks FROM m",
+        "syllabification": with_words + _SYLLABLES.format(ranks=_map({p: syllables.sonority(p) for p in NAMES}), vowels=", ".join(map(_q, sorted({p for k in SPECS for p in SPECS[k].vowels})))),
+        "entropy_metrics": encoded + _METRICS.format(c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns)),
+        "top_patterns": encoded + " SELECT * FROM (SELECT lang, component, pattern, n, row_number() OVER (PARTITION BY lang, component ORDER BY n DESC, pattern) AS rank FROM counts) WHERE rank <= 20",
+        "coarticulated": _coarticulated_sql(),
         "phoneme_distances": "WITH " + by_lang % "a.lang = b.lang" + " SELECT la AS lang, a, b, round(distance, 6) AS distance FROM d",
         "universal_distances": f"WITH v(p, x) AS (VALUES {vec}) SELECT a, b, round(CASE WHEN n = 0 THEN 0 ELSE k / n END, 6) AS distance FROM (SELECT a.p AS a, b.p AS b, len(list_filter(range(1, 25), lambda i: a.x[i] <> 0 AND b.x[i] <> 0)) AS n, len(list_filter(range(1, 25), lambda i: a.x[i] <> 0 AND b.x[i] <> 0 AND a.x[i] <> b.x[i])) AS k FROM v a, v b)",
         "invert_features": "WITH " + by_lang % "a.lang = 'en' AND b.lang <> 'en'" + " SELECT lb AS lang, a AS phoneme, b AS match, round(distance, 6) AS distance FROM d WHERE distance <= 0.6::DOUBLE",

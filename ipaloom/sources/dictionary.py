@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ipaloom.functions import text
+from ipaloom.session import exists, shared_dir, ship, state_of
 from ipaloom.sources.inventory import LANGUAGES, Spec
 
-VERSION = 2
+VERSION = 3
 #: Markers of entries that the data's makers could not transcribe (fixed values).
 UNUSABLE = ("CONSONANTUNACCOUNTEDFOR", "QNOU")
 #: Letters of the words that documents are cut into.
@@ -39,9 +40,50 @@ def variants(raw: DataFrame) -> DataFrame:
 
 
 def words_of(docs: DataFrame, min_length: int = 3) -> DataFrame:
-    """(lang, word): distinct words of documents by their language."""
+    """(lang, word, frequency): distinct words of documents by their language."""
     words = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("word"))
-    return words.where(F.char_length("word") >= min_length).distinct()
+    return words.groupBy("lang", "word").agg(F.count("*").alias("frequency")).where(F.char_length("word") >= min_length)
+
+
+def prepared(spark: SparkSession, path: str, specs: dict[str, Spec]) -> DataFrame:
+    """(lang, word, frequency, prons, ipa, tokens, n_tok): the dictionary of the documents at ``path``, of words of any length.
+
+    Made once: words are counted, spelled out by the rules of their language and
+    cut into phonemes in three steps, each written to the shared folder before the
+    next, so that no step's expressions are pushed below the counting or repeated.
+    What is there already for the same state of the input is read. Words of
+    languages without rules have no prons.
+    """
+    ship(spark)
+    content = "|".join([str(VERSION), state_of(spark, path), *(f"{k}:{','.join(s.phones)}:{LANGUAGES[k][1]}" for k, s in sorted(specs.items()))])
+    place = f"{shared_dir(spark)}/ipaloom-dictionary-{hashlib.sha256(content.encode()).hexdigest()[:16]}"
+    steps = {"words": lambda _: words_of(spark.read.parquet(path), 1), "spelled": lambda raw: _by_language(raw, specs, _spelled), "entries": lambda raw: _by_language(raw, specs, _cut)}
+    if not exists(spark, f"{place}/entries/_SUCCESS"):
+        made = None
+        for name, step in steps.items():
+            step(made).write.mode("overwrite").partitionBy("lang").parquet(f"{place}/{name}")
+            made = spark.read.option("basePath", f"{place}/{name}").parquet(f"{place}/{name}")
+    columns = "word string, frequency long, prons string, ipa string, tokens array<string>, n_tok int, lang string"
+    return spark.read.schema(columns).parquet(f"{place}/entries")
+
+
+def _by_language(raw: DataFrame, specs: dict[str, Spec], step: Callable[[DataFrame, str, Spec], DataFrame]) -> DataFrame:
+    """``step`` on each language's partition, and the other languages' rows without."""
+    other = raw.where(~F.col("lang").isin(*specs))
+    out = step(other, "", None)
+    for key, spec in specs.items():
+        out = out.unionByName(step(raw.where(F.col("lang") == key), key, spec))
+    return out
+
+
+def _spelled(rows: DataFrame, key: str, spec: Spec | None) -> DataFrame:
+    return rows.withColumn("prons", text.spell(F.col("word"), LANGUAGES[key][1]) if spec else F.lit(None).cast("string"))
+
+
+def _cut(rows: DataFrame, key: str, spec: Spec | None) -> DataFrame:
+    rows = rows.withColumn("ipa", text.clean_phones(F.trim(F.get(F.split("prons", ","), 0))))
+    rows = rows.withColumn("tokens", text.tokenize(F.col("ipa"), spec.phones) if spec else F.lit(None).cast("array<string>"))
+    return rows.withColumn("n_tok", F.size("tokens"))
 
 
 def transcribe(words: DataFrame) -> DataFrame:
@@ -49,7 +91,7 @@ def transcribe(words: DataFrame) -> DataFrame:
     ipa = F.lit(None).cast("string")
     for lang, (_, rules) in LANGUAGES.items():
         ipa = F.when(F.col("lang") == lang, text.spell(F.col("word"), rules)).otherwise(ipa)
-    return words.select("lang", "word", ipa.alias("prons")).where("prons is not null and prons != ''")
+    return words.select(*words.columns, ipa.alias("prons")).where("prons is not null and prons != ''")
 
 
 def pretokenize(raw: DataFrame, specs: dict[str, Spec], min_tokens: int = 2, clean: bool = True) -> DataFrame:

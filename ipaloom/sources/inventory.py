@@ -127,6 +127,18 @@ def universal(phoneme: str) -> tuple[int, ...]:
     return (0,) * len(UNIVERSAL)
 
 
+def sort_features(features: Mapping[str, bool | str]) -> dict[str, bool | str]:
+    """The same features by name."""
+    return dict(sorted(features.items()))
+
+
+def phoneme_features(inventory: Mapping[str, Mapping], phoneme: str) -> Mapping[str, bool | str]:
+    """A phoneme's features in an inventory; an error if it is not in it."""
+    if phoneme not in inventory:
+        raise KeyError(f"no phoneme {phoneme!r}")
+    return inventory[phoneme]
+
+
 def universal_dict(phoneme: str) -> dict[str, int]:
     return dict(zip(UNIVERSAL, universal(phoneme)))
 
@@ -179,7 +191,10 @@ class LanguageRegistry(Mapping):
     """Languages by key; further ones can be read from JSON in the documented layout."""
 
     def __init__(self, path: str | None = None):
-        self._own = json.load(open(path, encoding="utf-8")) if path else {}
+        self._own = {}
+        if path:
+            with open(path, encoding="utf-8") as f:
+                self._own = json.load(f)
 
     def __getitem__(self, key: str) -> Spec:
         key = key.replace("-", "_")
@@ -210,6 +225,10 @@ class LanguageRegistry(Mapping):
         held = lambda c: any(f.get(c.split("=")[0]) == c.split("=")[-1] or f.get(c) for f in spec.features.values())
         return Spec(key, spec.vowels, spec.features, tuple(c for c in spec.consonant_columns if held(c)), tuple(c for c in spec.vowel_columns if c in used["vowel"] and held(c)))
 
+    def clear_cache(self) -> None:
+        """Forget the specifications that were built."""
+        self.build_spec.cache_clear()
+
     def __hash__(self) -> int:
         return id(self)
 
