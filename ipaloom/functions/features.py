@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +113,24 @@ class BitEncoder:
         return format(out, f"0{n}b")
 
 
+def word_bits(tokens: Column, spec: Spec, max_syllables: int = 6) -> Column:
+    """``BitEncoder.word`` of a column of tokens, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        encoder = BitEncoder(spec)
+        return pd.Series([None if x is None else encoder.word(list(x), max_syllables) for x in t])
+
+    return run(tokens)
+
+
+def folded(bits: Column, width: int) -> Column:
+    """All slots of ``width`` bits xor'ed into one; a last slot is filled with zeros."""
+    places = F.sequence(F.lit(1), F.lit(width))
+    slots = lambda i: F.sequence(i, F.greatest(F.char_length(bits), i), F.lit(width))
+    return F.array_join(F.transform(places, lambda i: F.when(F.size(F.filter(slots(i), lambda at: F.substr(bits, at, F.lit(1)) == "1")) % 2 == 1, "1").otherwise("0")), "")
+
+
 def hamming_distance(a: Column, b: Column) -> Column:
     """Differing places of two bit strings; an error if their lengths differ."""
     same = F.assert_true(F.char_length(a) == F.char_length(b), F.lit("bit vectors differ in length"))

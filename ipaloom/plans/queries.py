@@ -144,6 +144,32 @@ def phrase_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pairwise(rows, measure, 0.0, ["ids"])
 
 
+def word_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit vectors of all words, and all their slots in one."""
+    rows = _entries(spark, sf_dir)
+    bits = F.lit(None).cast("string")
+    for k, spec in SPECS.items():
+        bits = F.when(F.col("lang") == k, feat.word_bits(F.col("tokens"), spec)).otherwise(bits)
+    rows = rows.select("lang", "word", bits.alias("bits"))
+    return rows.withColumn("folded", feat.folded(F.col("bits"), SPECS["en"].syllable_bits))
+
+
+def phrase_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hamming similarity of all pairs of phrases' bit vectors."""
+    rows = _phrase_rows(spark, sf_dir).select(F.col("phrase").alias("key"), "ipa")
+    return pairs.Distance(SPECS["en"]).pairwise_hamming(rows).withColumn("value", F.round("value", 6))
+
+
+def cross_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the parts' names, spelled by each language's rules: distances of every two languages."""
+    word = _phrase_rows(spark, sf_dir, True).select(F.col("phrase").alias("concept"))
+    rows = None
+    for k, spec in SPECS.items():
+        own = word.select("concept", F.lit(k).alias("lang"), text.tokenize(text.spell(F.col("concept"), LANGUAGES[k][1]), spec.phones).alias("tokens"))
+        rows = own if rows is None else rows.union(own)
+    return pairs.cross_language(rows.where(F.size("tokens") > 0)).withColumn("value", F.round("value", 6))
+
+
 def sign_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hamming similarity of embeddings' sign bits: every hundredth vector against all, five nearest."""
     bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
@@ -224,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reverse_lookup, multi_language_scan, words, g2p_rules, g2p_dictionary_or_rules, pretokenize, clean_phones, stress_marks, phoneme_distances, universal_distances, invert_features, invert_phrases,
-        phrase_distances, sign_bit_neighbours, sonority, syllabification, phoneme_entropy, entropy_metrics, top_patterns, segmentation, recovered_words, coarticulated, enriched_events,
+        phrase_distances, word_bits, phrase_hamming, cross_language, sign_bit_neighbours, sonority, syllabification, phoneme_entropy, entropy_metrics, top_patterns, segmentation, recovered_words, coarticulated, enriched_events,
     )
 }
 
@@ -346,6 +372,23 @@ SELECT lang, component, n_patterns, total, CASE WHEN utilisation < 0.25 THEN 'ov
        round(sum(CASE WHEN component <> 'joint' THEN entropy END) OVER (PARTITION BY lang) - max(CASE WHEN component = 'joint' THEN entropy END) OVER (PARTITION BY lang), 6) AS redundancy, round(utilisation, 12) AS utilisation FROM u"""
 
 
+#: The last six syllables, the last first, filled with zeros; and the parity of each place over all slots.
+_BITS = """, w AS (
+  SELECT lang, word, rpad(coalesce(string_agg(coalesce(onset, '') || nucleus || coalesce(coda, ''), '' ORDER BY k DESC), ''), {w} * 6, '0') AS bits FROM (SELECT e.lang, e.word, k, onset, nucleus, coda, row_number() OVER (PARTITION BY e.lang, e.word ORDER BY k DESC) AS r FROM entries e LEFT JOIN x ON e.lang = x.lang AND e.word = x.word) WHERE r <= 6 GROUP BY lang, word
+)
+SELECT lang, word, bits, array_to_string(list_transform(range(1, {w} + 1), lambda i: (len(list_filter(range(0, 6), lambda s: substr(bits, s * {w} + i, 1) = '1')) % 2)::VARCHAR), '') AS folded FROM w"""
+
+
+def _cross_sql() -> str:
+    index, matrix = feat.distance_matrix({p: dict(enumerate(universal(p))) for p in NAMES})
+    ids = f"list_transform(tokens, lambda t: ({_map({p: i + 1 for p, i in index.items()})})[t])"
+    rows = " UNION ALL ".join(f"SELECT phrase, {_q(k)} AS lang, regexp_extract_all({_spelled('phrase', k)}, {_q(text.alternation(SPECS[k].phones))}) AS tokens FROM phrases" for k in SPECS)
+    m = "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in r) + "]" for r in matrix) + "]"
+    return f"""WITH {_phrases_sql(True)}, matrix AS (SELECT {m} AS m), t AS MATERIALIZED (SELECT phrase, lang, {ids} AS b, list_transform({ids}, lambda x: x::DOUBLE) AS a FROM ({rows}) WHERE len(tokens) > 0), c AS MATERIALIZED (
+  SELECT x.phrase AS concept, x.lang AS lang_a, y.lang AS lang_b, x.a AS a, y.b AS b FROM t x JOIN t y ON x.phrase = y.phrase AND x.lang < y.lang)
+SELECT concept, lang_a, lang_b, round({_EDIT} / greatest(len(a), len(b)), 6) AS value FROM c, matrix"""
+
+
 def _coarticulated_sql() -> str:
     """Each phoneme with its neighbours is shifted by the rules in turn; the distances of all such contexts make the matrix."""
     at = lambda v, n: f"{v}[{coarticulation.AT[n] + 1}]"
@@ -393,7 +436,8 @@ def oracles() -> dict[str, str]:
     marked = f""", m AS (SELECT lang, word, left(prons, cut_at) || {choose(_MARKS, f'length(word) + {first}')} || CASE WHEN length(word) % 3 = 0 THEN {choose(_MARKS, 'length(word)')} ELSE '' END || substr(prons, cut_at + 1) || {choose(_DECOMPOSED, f'length(word) + {size}')} AS d
   FROM (SELECT *, (length(word) * 7 + {first}) % ({size} + 1) AS cut_at FROM raw))"""
     bits = [(k, p, int(p in s.vowels), int(feat.bits_of(f, s.consonant_columns), 2), int(feat.bits_of(f, s.vowel_columns), 2)) for k, s in SPECS.items() for p, f in s.features.items()]
-    encoded = _ENCODED.format(words=_words_sql(min_length=1, min_tokens=1), bits=", ".join(f"({_q(k)}, {_q(p)}, {v}, {c}, {n})" for k, p, v, c, n in bits), c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns))
+    bits_sql = ", ".join(f"({_q(k)}, {_q(p)}, {v}, {c}, {n})" for k, p, v, c, n in bits)
+    encoded = _ENCODED.format(words=_words_sql(min_length=1, min_tokens=1), bits=bits_sql, c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns))
     return {
         "reverse_lookup": _scan_sql(("fr",), TOP) + "SELECT * FROM best",
         "multi_language_scan": _scan_sql(TARGETS, 1) + "SELECT * FROM best",
@@ -408,6 +452,9 @@ def oracles() -> dict[str, str]:
         "entropy_metrics": encoded + _METRICS.format(c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns)),
         "top_patterns": encoded + " SELECT * FROM (SELECT lang, component, pattern, n, row_number() OVER (PARTITION BY lang, component ORDER BY n DESC, pattern) AS rank FROM counts) WHERE rank <= 20",
         "coarticulated": _coarticulated_sql(),
+        "word_bits": _ENCODED.format(words=_words_sql(), bits=bits_sql, c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns)) + _BITS.format(w=SPECS["en"].syllable_bits),
+        "phrase_hamming": _ENCODED.format(words=_phrases_sql() + ", entries AS (SELECT 'en' AS lang, phrase AS word, tokens, 1 AS frequency FROM phrases)", bits=bits_sql, c=len(SPECS["en"].consonant_columns), v=len(SPECS["en"].vowel_columns)) + _BITS.format(w=SPECS["en"].syllable_bits).replace("SELECT lang, word, bits, array", ", z AS MATERIALIZED (SELECT word, bits FROM w) SELECT x.word AS a, y.word AS b, round(len(list_filter(range(1, length(x.bits) + 1), lambda i: substr(x.bits, i, 1) = substr(y.bits, i, 1))) / length(x.bits), 6) AS value FROM z x, z y --").replace("\n)\n, z", "\n), z"),
+        "cross_language": _cross_sql(),
         "phoneme_distances": "WITH " + by_lang % "a.lang = b.lang" + " SELECT la AS lang, a, b, round(distance, 6) AS distance FROM d",
         "universal_distances": f"WITH v(p, x) AS (VALUES {vec}) SELECT a, b, round(CASE WHEN n = 0 THEN 0 ELSE k / n END, 6) AS distance FROM (SELECT a.p AS a, b.p AS b, len(list_filter(range(1, 25), lambda i: a.x[i] <> 0 AND b.x[i] <> 0)) AS n, len(list_filter(range(1, 25), lambda i: a.x[i] <> 0 AND b.x[i] <> 0 AND a.x[i] <> b.x[i])) AS k FROM v a, v b)",
         "invert_features": "WITH " + by_lang % "a.lang = 'en' AND b.lang <> 'en'" + " SELECT lb AS lang, a AS phoneme, b AS match, round(distance, 6) AS distance FROM d WHERE distance <= 0.6::DOUBLE",

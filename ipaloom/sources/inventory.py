@@ -225,6 +225,12 @@ class LanguageRegistry(Mapping):
         held = lambda c: any(f.get(c.split("=")[0]) == c.split("=")[-1] or f.get(c) for f in spec.features.values())
         return Spec(key, spec.vowels, spec.features, tuple(c for c in spec.consonant_columns if held(c)), tuple(c for c in spec.vowel_columns if c in used["vowel"] and held(c)))
 
+    def build_distance(self, key: str, max_syllables: int = 6):
+        """The ``Distance`` of a language."""
+        from ipaloom.operators.pairs import Distance
+
+        return Distance(self.build_spec(key), max_syllables)
+
     def clear_cache(self) -> None:
         """Forget the specifications that were built."""
         self.build_spec.cache_clear()
