@@ -73,13 +73,9 @@ def links(a: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the links of two fingerprints; 0 if one has none."""
-
-    def dice(x: Column) -> Column:
-        total = F.size(x["a"]) + F.size(x["b"])
-        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x["a"], x["b"])) / total)
-
-    return let(F.struct(links(a).alias("a"), links(b).alias("b")), dice)
+    """Dice coefficient of two sets of links; 0 if one is empty."""
+    total = F.size(a) + F.size(b)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
 def written(a: Column) -> Column:
@@ -142,18 +138,19 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", "text", "key", F.lit(0).alias("range"), F.lit(0).alias("extra"))
     order = Window.partitionBy("range").orderBy("extra", "key", "text")
     rows = rows.withColumn("next", F.lead("text").over(order))
-    rows = rows.withColumn("fp", anchors(F.col("text"))).withColumn("next_fp", F.lead("fp").over(order))
+    rows = rows.withColumn("fp", anchors(F.col("text"))).withColumn("links", links(F.col("fp"))).withColumn("next_links", F.lead("links").over(order))
     rows = rows.where("extra = 0").withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
     rows = rows.withColumn("edited_fp", F.when(F.col("edited") == F.col("text"), F.col("fp")).otherwise(anchors(F.col("edited"))))
+    rows = rows.withColumn("edited_links", links(F.col("edited_fp")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written(F.col("fp")).alias("fingerprint"),
         written(F.col("edited_fp")).alias("edited_fingerprint"),
-        F.when(F.col("edited") == F.col("text"), F.lit(1.0)).otherwise(likeness(F.col("fp"), F.col("edited_fp"))).alias("near_edited"),
-        F.when(F.col("next") == F.col("text"), F.lit(1.0)).otherwise(likeness(F.col("fp"), F.col("next_fp"))).alias("near_next"),
+        F.when(F.col("edited") == F.col("text"), F.lit(1.0)).otherwise(likeness(F.col("links"), F.col("edited_links"))).alias("near_edited"),
+        F.when(F.col("next") == F.col("text"), F.lit(1.0)).otherwise(likeness(F.col("links"), F.col("next_links"))).alias("near_next"),
     )
