@@ -45,7 +45,8 @@ from ipaloom.llm.textcnn import TextCNN
 from ipaloom.llm.training import labelled_sample
 
 BUCKETS = 1 << 16
-FOLDS = 5
+#: Labelled rows that are learned from at least, and folds of the scores that calibrate.
+LEAST, CROSS = 10, 3
 #: Embeddings of words and their beginnings, and the lengths of those.
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, t
     texts = [ids[i].astype(np.int64).reshape(-1, 2 + len(PREFIXES)) for i in order]
     y, near = y[order].astype(np.float32), near[order]
     prior = float(y.mean()) if len(y) else 0.0
-    if len(y) < 2 * FOLDS or prior in (0.0, 1.0):
+    if len(y) < LEAST or prior in (0.0, 1.0):
         return Model(None, prior, None, np.zeros(0, int), np.zeros((1, 0)), np.ones(1))
     frequent, c = np.zeros(0, int), np.zeros((1, 0))
     if lang is None:
@@ -230,11 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 5000, t
         x = profile(words, frequent)
         c = _clusters(x, groups)
         near = (x @ c.T).argmax(axis=1)
-    # scores for calibration come from the half that a text is not in
-    half = (np.arange(len(y)) // FOLDS) % 2
+    # scores for calibration come from networks that did not learn from a text
+    fold = np.arange(len(y)) % CROSS
     p = np.zeros(len(y))
-    for k in (0, 1):
-        at, to = np.flatnonzero(half != k), np.flatnonzero(half == k)
+    for k in range(CROSS):
+        at, to = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if y[at].min() < y[at].max():
             p[to] = _sigmoid(_logits(_train([texts[i] for i in at], y[at], 7 + k), [texts[i] for i in to]))
     bends = np.log(threshold) / np.log(_thresholds(p, y, near, len(lang.langs) + 1 if lang else len(c)))
