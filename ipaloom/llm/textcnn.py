@@ -38,6 +38,17 @@ class TextCNN:
         self.c = np.zeros(1, np.float32)
         self.tables: list[list[np.ndarray]] | None = None
 
+    def __getstate__(self) -> dict:
+        """Only embeddings that are not zero are sent along."""
+        rows = np.flatnonzero(self.e.any(axis=1))
+        return self.__dict__ | {"e": (self.e.shape, rows, self.e[rows])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, rows, e = state["e"]
+        self.__dict__.update(state)
+        self.e = np.zeros(shape, e.dtype)
+        self.e[rows] = e
+
     def freeze(self) -> "TextCNN":
         """Build the tables of products that scoring uses."""
         self.tables = [[self.e @ w[o] for o in range(k)] for k, w in zip(self.widths, self.w)]
@@ -87,12 +98,14 @@ class TextCNN:
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         return self.pooled(texts) @ self.v + self.c[0]
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, sparse: float = 0.0, drop: float = 0.0, seed: int = 3) -> "TextCNN":
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, sparse: float = 0.0, drop: float = 0.0, average: float = 0.0, clear: bool = False, seed: int = 3) -> "TextCNN":
         """Adam on the logistic loss, weighted to even classes.
 
         ``sparse``: a rate of its own for the embedding, whose touched rows alone
         are then updated (Adagrad). ``drop``: the share of ids that are left out
-        at random in training.
+        at random in training. ``average``: the share of epochs, the last ones,
+        whose mean is the result. ``clear``: embeddings that nothing was learned
+        for become zero.
         """
         rng = np.random.default_rng(seed)
         params = [self.v, self.c, *self.w, *self.b, *(() if sparse else (self.e,))]
@@ -103,7 +116,8 @@ class TextCNN:
         n_w = len(self.widths)
         pad = max(self.widths) - 1
         weight = np.where(y == 1, 0.5 / max(1e-6, y.mean()), 0.5 / max(1e-6, 1 - y.mean()))
-        for _ in range(epochs):
+        mean, counted = None, 0
+        for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
@@ -148,6 +162,14 @@ class TextCNN:
                     m_ += 0.1 * (g_ - m_)
                     s_ += 0.001 * (g_ * g_ - s_)
                     p_ -= rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)
+            if average and epoch >= epochs * (1 - average):
+                now = [self.e, *params[: 2 + 2 * n_w]]
+                counted += 1
+                mean = [p_.copy() for p_ in now] if mean is None else [a + (p_ - a) / counted for a, p_ in zip(mean, now)]
+        if mean is not None:
+            self.e, self.v, self.c, self.w, self.b = mean[0], mean[1], mean[2], mean[3 : 3 + n_w], mean[3 + n_w :]
+        if clear and sparse:
+            self.e[seen <= 1e-8] = 0
         return self
 
     def _embedding_grad(self, ids: np.ndarray, slopes: np.ndarray, sparse: float, seen: np.ndarray) -> list[np.ndarray]:
@@ -167,3 +189,19 @@ class TextCNN:
             seen[own] += (total**2).mean(axis=1)
             self.e[own] -= sparse * total / np.sqrt(seen[own])[:, None]
         return []
+
+
+def joined(nets: list[TextCNN]) -> TextCNN:
+    """One network whose logit is the mean of those of ``nets``: their embeddings side by side, each filter over its own part."""
+    out = copy.copy(nets[0])
+    dim, filters, n = out.e.shape[1], out.filters, len(nets)
+    out.filters = filters * n
+    out.e = np.concatenate([net.e for net in nets], axis=1)
+    out.w = [np.zeros((k, dim * n, filters * n), np.float32) for k in out.widths]
+    for i, net in enumerate(nets):
+        for w, own in zip(out.w, net.w):
+            w[:, i * dim : (i + 1) * dim, i * filters : (i + 1) * filters] = own
+    out.b = [np.concatenate(b) for b in zip(*(net.b for net in nets))]
+    out.v = np.stack([net.v.reshape(len(out.widths), filters) for net in nets], axis=1).ravel() / n
+    out.c = np.mean([net.c for net in nets], axis=0)
+    return out
