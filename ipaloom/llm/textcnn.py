@@ -50,8 +50,8 @@ class TextCNN:
         self.e[rows] = e
 
     def freeze(self) -> "TextCNN":
-        """Build the tables of products that scoring uses."""
-        self.tables = [[self.e @ w[o] for o in range(k)] for k, w in zip(self.widths, self.w)]
+        """Build the tables of products that scoring uses: for each offset, the filters of all widths beyond it, side by side."""
+        self.tables = [self.e @ np.concatenate([w[o] for w in self.w if len(w) > o], axis=1) for o in range(max(self.widths))]
         return self
 
     def over(self, e: np.ndarray) -> "TextCNN":
@@ -60,16 +60,21 @@ class TextCNN:
         out.e = e
         return out.freeze()
 
-    def _conv(self, flat: np.ndarray, i: int) -> np.ndarray:
-        k, w = self.widths[i], self.w[i]
+    def _conv(self, flat: np.ndarray) -> np.ndarray:
+        """Activations of all filters at each place; ``widths`` ascend, so that an offset's filters are the last ones."""
         n = len(flat) - (max(self.widths) - 1)
-        z = np.repeat(self.b[i][None], n, axis=0)
-        for o in range(k):
+        z = np.empty((n, self.filters * len(self.widths)), np.float32)
+        z[:] = np.concatenate(self.b)
+        for o in range(max(self.widths)):
             at = flat[o : n + o]
-            z += self.tables[i][o][at] if self.tables is not None else self.e[at] @ w[o]
+            if self.tables is not None:
+                t = self.tables[o].take(at, axis=0)
+            else:
+                t = self.e[at] @ np.concatenate([w[o] for w in self.w if len(w) > o], axis=1)
+            z[:, z.shape[1] - t.shape[1] :] += t
         return z
 
-    def pooled(self, texts: list[np.ndarray], step: int = 1 << 17) -> np.ndarray:
+    def pooled(self, texts: list[np.ndarray], step: int = 1 << 12) -> np.ndarray:
         """Max-pooled activations; long texts go through in pieces that overlap by the filter width."""
         pad = max(self.widths) - 1
         out = np.zeros((len(texts), self.filters * len(self.widths)), np.float32)
@@ -81,8 +86,9 @@ class TextCNN:
                 return
             flat, starts, inside = flatten([texts[r][at : at + step + pad] for r, at in group], pad)
             flat = np.concatenate([flat, np.zeros(pad, np.int64)])
-            z = np.concatenate([np.maximum.reduceat(np.where(inside[:, None], self._conv(flat, i), -np.inf), starts, axis=0) for i in range(len(self.widths))], axis=1)
-            np.maximum.at(out, np.array([r for r, _ in group]), z)
+            z = self._conv(flat)
+            z[~inside] = -np.inf
+            np.maximum.at(out, np.array([r for r, _ in group]), np.maximum.reduceat(z, starts, axis=0))
             group.clear()
 
         for r, t in enumerate(texts):
