@@ -106,7 +106,10 @@ def labelled_findings(n: int, seed: int = 17, long: bool = False, shape: str = "
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     b62, hexa = string.ascii_letters + string.digits, string.hexdigits[:16]
     syllables = ["an", "re", "ti", "lo", "der", "ing", "men", "ka", "sol", "est", "ver", "on", "eau", "cion", "lich"]
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
+    onsets = ["", "b", "c", "d", "f", "g", "h", "j", "l", "m", "n", "p", "qu", "r", "s", "t", "v", "w", "bl", "br", "ch", "cl", "cr", "dr", "fl", "fr", "gr", "ph", "pl", "pr", "sh", "sk", "sp", "st", "str", "th", "tr"]
+    nuclei, codas = ["a", "e", "i", "o", "u", "ai", "ea", "ee", "ie", "oo", "ou", "au", "y"], ["", "", "n", "r", "l", "s", "t", "d", "m", "ng", "nt", "nd", "st", "ck", "ct", "x", "mb", "ld", "ll", "ss", "rm", "pt"]
+    syllable = lambda: pick(syllables) if rng.integers(3) == 0 else pick(onsets) + pick(nuclei) + pick(codas)
+    word = lambda: "".join(syllable() for _ in range(int(rng.integers(1, 4))))
     words = lambda k: " ".join(word() for _ in range(k))
     size = lambda: int(rng.integers(20, 65))
     families = {
@@ -139,12 +142,12 @@ def labelled_findings(n: int, seed: int = 17, long: bool = False, shape: str = "
     ]
 
     def joined() -> str:
-        """Path, identifier or parameters of 30 characters or more, with a number here and there."""
-        mark, parts = pick("//--__="), []
+        """Path, identifier or parameters of 30 characters or more, with a number here and there; its parts stand behind one mark or behind any."""
+        mark, mixed, parts = pick("//--__="), rng.integers(2), []
         while sum(map(len, parts)) < size() + 10:
             shape = int(rng.integers(8))
             parts.append(str(rng.integers(0, 3000)) if shape == 0 else word().capitalize() if shape == 1 else word())
-        return mark.join(parts)
+        return "".join(p + (pick("/-_") if mixed else mark) for p in parts[:-1]) + parts[-1]
 
     def run(label: int) -> str:
         mark = pick("//-_=")
@@ -195,15 +198,15 @@ def _findings(examples: int, without: str | None = None) -> list[tuple[str, list
 
 
 @functools.cache
-def fit(examples: int = 3000, recall: float = 0.97, epochs: int = 8, without: str | None = None) -> Model:
-    """Train on generated findings, ``examples`` of each sort; a third is held out to set the thresholds."""
+def fit(examples: int = 3000, recall: float = 0.97, epochs: int = 16, without: str | None = None) -> Model:
+    """Train on generated findings, ``examples`` of each sort; a third is held out to set the thresholds; the last half of the epochs is averaged."""
     sorts = _findings(examples, without)
     x = [_window(t, a, b) for _, found in sorts for t, a, b, _ in found]
     y = np.array([label for _, found in sorts for *_, label in found], np.float32)
     sort = np.repeat(np.arange(len(sorts)), [len(found) for _, found in sorts])
     out = np.concatenate([np.arange(len(found)) // 2 % 3 == 2 for _, found in sorts])
     cnn = TextCNN(260, 12, (2, 3, 5), 12, seed=5)
-    cnn.fit([v for v, o in zip(x, out) if not o], y[~out], epochs=epochs)
+    cnn.fit([v for v, o in zip(x, out) if not o], y[~out], epochs=epochs, average=0.5)
     model = Model(cnn.freeze(), {})
     p = model.scores([v for v, o in zip(x, out) if o])
     for shape in SHAPES:
